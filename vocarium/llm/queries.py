@@ -11,6 +11,12 @@ from . import shared
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.ngram_jaccard_join(shared.documents(spark, sf_dir), n=4, percent=85)
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_output
 
@@ -34,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_output, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op6_token_output, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
