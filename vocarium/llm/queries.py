@@ -17,6 +17,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(shared.documents(spark, sf_dir), n=4, percent=85)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    out = decontam.decontaminate(shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.drop("spans", "items")
+
+
+def op3_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ogg
+
+    return ogg.media_features(ogg.media_column(shared.documents(spark, sf_dir)))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_output
 
@@ -25,6 +38,16 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, written).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = shared.documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.where(quality.fold(F.col("doc_id"), 4) != 2))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -40,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op6_token_output, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_media_ogg, op6_token_output, op7_quality, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
