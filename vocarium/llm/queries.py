@@ -30,6 +30,17 @@ def op3_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.media_column(shared.documents(spark, sf_dir)))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the pages that no rule settles, labelled by words in their host names."""
+    from . import url_filter
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host, path = url_filter.host_and_path(F.col("url"))
+    free = pages.select("url", host.alias("host"), path.alias("path")).where(url_filter.rule_of(F.col("host"), F.col("path"))[0].isNull())
+    model = url_filter.train(free.select("url", url_filter.seed_label(F.col("host")).alias("label")))
+    return url_filter.judge(pages, model).drop("block_score")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_output
 
@@ -63,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_media_ogg, op6_token_output, op7_quality, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_media_ogg, op4_url_filter, op6_token_output, op7_quality, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
