@@ -41,6 +41,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model).drop("block_score")
 
 
+#: Stands for the secret key that a deployment passes to the operator.
+PII_KEY = b"a key for tests only"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.replace_pii(shared.documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "pii_types", "pii_count")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_output
 
@@ -74,7 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_media_ogg, op4_url_filter, op6_token_output, op7_quality, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_media_ogg, op4_url_filter, op5_pii, op6_token_output, op7_quality, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
