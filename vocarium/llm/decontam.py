@@ -167,3 +167,14 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, width: int = 10, id_col:
 
     out = found.select("id", "n_words", "spans", "items").mapInArrow(digest, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<long>, items array<string>")
     return out.withColumnRenamed("id", id_col)
+
+
+def clean(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose text holds no window of any item. A filter for each block of the benchmark; no shuffle."""
+    shared.short_batches(df.sparkSession)
+    for items in blocks_of(benchmark, item_col, item_text):
+        row = F.struct(*[df[f"`{c}`"] for c in df.columns])
+        packed = df.select(F.lit(0).cast("long").alias("rid"), row.alias("id"), df[text_col].alias("text"))
+        found = occurrences(packed, items, width, packed.schema["id"].dataType.simpleString())
+        df = found.where(F.size("items") == 0).select("id.*")
+    return df

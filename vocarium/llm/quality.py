@@ -149,9 +149,13 @@ class FactorisationMachine:
                 self.v[used] -= rate * dv / np.sqrt(gv[used])
 
 
-def _slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _meta(df: DataFrame) -> Column:
     meta = df["n_chars"].cast("double") if "n_chars" in df.columns else F.lit(None).cast("double")
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.coalesce(meta, F.lit(-1.0)).alias("meta"))
+    return F.coalesce(meta, F.lit(-1.0)).alias("meta")
+
+
+def _slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text"), _meta(df))
 
 
 def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> FactorisationMachine | float:
@@ -197,6 +201,21 @@ def score(df: DataFrame, model: FactorisationMachine | float, id_col: str = "doc
     return slim.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def with_score(df: DataFrame, model: FactorisationMachine | float, text_col: str = "text") -> DataFrame:
+    """The table's rows as they are, with a column ``score``. Narrow: no shuffle."""
+    shared.short_batches(df.sparkSession)
+    names = [c for c in df.columns if c != "score"]
+    packed = df.select(F.struct(*[df[f"`{c}`"] for c in names]).alias("row"), df[text_col].alias("text"), _meta(df))
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(sent.value, shared.plain(b.column(1)), b.column(2).to_numpy()), pa.float64())], ["row", "score"])
+
+    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "score")
+
+
 def scores(fm: FactorisationMachine | float, arr: pa.Array, meta: np.ndarray) -> np.ndarray:
     if isinstance(fm, float):
         return np.full(len(arr), fm)

@@ -76,6 +76,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("ids")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.lm_scores(shared.documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_count
 
@@ -84,7 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_media_ogg, op4_url_filter, op5_pii, op6_token_output, op7_quality, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_media_ogg, op4_url_filter, op5_pii, op6_token_output, op7_quality, op8_packing, op9_lm_scores, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
