@@ -6,8 +6,8 @@
    frequency class, and ties follow the hash. Any order gives the same links; this one keeps shared
    passages out of the prefixes.
 3. Two sets within the threshold share an n-gram among their first ``size - ceil(t * size) + 1``. These
-   prefixes meet by n-gram. A first round links each document to the smallest id of each of its
-   groups; what that joins needs no further pairs. A second round takes every pair that shares a
+   prefixes meet by n-gram. First rounds hold each document against a few members of its groups' lowest
+   component; what that joins needs no further pairs. A last round takes every pair that shares a
    prefix n-gram and is not joined yet, so no link between components is lost.
 4. Pairs whose prefix overlap plus the remaining lengths can't reach the threshold are dropped; the
    others are settled by ``PrefixTree``: candidates of one probe in a trie, traversed with shared
@@ -36,6 +36,8 @@ SKETCH_BITS, FILTER_BITS = 20, 22
 EARLY_CLASSES = 10_000
 #: Candidates that one tree holds.
 TREE_SETS = 64
+#: Rounds that join components quickly, and members of a component that one document is held against in each.
+STAR_TURNS, STAR_TRIES = 3, 4
 
 
 def least_overlap(a, b, percent: int):
@@ -253,11 +255,33 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(reach * (100 + percent) >= percent * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    pairs = shared.saved(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shared.saved(ordered_sets(docs, wanted, n, classes))
-    return shared.saved(verified(pairs, sets, percent))
+def _fits(a: str, b: str, percent: int):
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+
+def stars(met: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs(a, b) that join components quickly: in each group of met(token, id, size, pos, component) everyone
+    looks at one member of the lowest component, another one each turn. What is missed here is found later."""
+    member = F.struct("component", F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "pos")
+    low = met.groupBy("token").agg(F.min(member).alias("low"), F.max("component").alias("high")).where("low.component <> high").drop("high")
+    seen = met.join(low, "token").where("component <> low.component")
+    seen = seen.select(F.col("id").alias("a"), F.col("low.id").alias("b"), F.col("low.component").alias("k"), F.col("size").alias("sa"), F.col("low.size").alias("sb"), "pos", F.col("low.pos").alias("at")).where(_fits("sa", "sb", percent))
+    one = seen.groupBy("a", "k", "sa", "b", "sb").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("la"), F.max("at").alias("lb"))
+    best = one.groupBy("a", "k", "sa").agg(F.sum("c").alias("c"), F.max("la").alias("la"), F.max("lb").alias("lb"), F.slice(F.sort_array(F.collect_list(F.struct("c", "b", "sb")), asc=False), 1, STAR_TRIES).alias("x"))
+    return _bounded(best.select("a", "sa", "c", "la", "lb", F.explode("x").alias("x")).select("a", F.col("x.b").alias("b"), "sa", F.col("x.sb").alias("sb"), "c", "la", "lb"), percent)
+
+
+def crossings(met: DataFrame, percent: int) -> DataFrame:
+    """Every pair(a, b) of different components that can link: they meet in a token before which so little
+    of either set lies that the rest can still hold the overlap, and their shared tokens and rests reach it."""
+    mixed = met.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    mine = shared.saved(met.join(mixed, "token", "left_semi"))
+    x = mine.select("token", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("component").alias("ka"))
+    y = mine.select("token", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("component").alias("kb"))
+    later = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") > F.col("b")))
+    room = lambda s, p: (F.col(s) - F.col(p)) * (100 + percent) >= percent * (F.col("sa") + F.col("sb"))
+    pairs = x.join(y, "token").where((F.col("ka") != F.col("kb")) & later & (F.col("sb") * 100 >= F.col("sa") * percent) & room("sa", "pa") & room("sb", "pb"))
+    return _bounded(pairs.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("la"), F.max("pb").alias("lb")), percent)
 
 
 def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,27 +296,16 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str
     early = {r["d1"]: r["rep"] for r in copies.orderBy(F.desc("copies"), "rep").limit(EARLY_CLASSES).collect()}
 
     table = shared.saved(prefixes(docs, n, percent, classes, early))
-    groups = table.groupBy("token").agg(F.min(F.struct("id", "size", "pos")).alias("low"), F.max("id").alias("high")).where("low.id <> high").select("token", "low")
-    met = shared.saved(table.join(groups, "token"))
-
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    star = met.where("id <> low.id").select(F.col("id").alias("a"), F.col("low.id").alias("b"), F.col("size").alias("sa"), F.col("low.size").alias("sb"), "pos", F.col("low.pos").alias("at"))
-    star = star.where(fits("sa", "sb")).groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("la"), F.max("at").alias("lb"))
-    links = _links(docs, _bounded(star, percent), n, percent, classes)
-
-    joined = shared.saved(components(links))
-    mine = met.drop("low").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = mine.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    mine = shared.saved(mine.join(mixed, "token", "left_semi"))
-    x = mine.select("token", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("component").alias("ka"))
-    y = mine.select("token", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("component").alias("kb"))
-    pairs = x.join(y, "token").where(F.col("ka") != F.col("kb")).where((F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") > F.col("b")))).where(F.col("sb") * 100 >= F.col("sa") * percent)
-    # the smaller set's overlap is at least 2t / (1 + t) of its size, so a shorter prefix of it meets
-    pairs = pairs.where((F.col("sb") - F.col("pb")) * (100 + percent) >= F.col("sb") * 2 * percent)
-    pairs = pairs.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("la"), F.max("pb").alias("lb"))
-    more = _links(docs, _bounded(pairs, percent), n, percent, classes)
-
-    links = links.unionAll(more)
+    groups = table.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("token")
+    met = shared.saved(table.join(groups, "token", "left_semi"))
+    sets = shared.saved(ordered_sets(docs, met.select("id").distinct(), n, classes))
+
+    mine, links = met.withColumn("component", F.col("id")), None
+    for turn in range(STAR_TURNS):
+        more = shared.saved(verified(shared.saved(stars(mine, percent, turn)), sets, percent))
+        links = more if links is None else links.unionAll(more)
+        mine = met.join(shared.saved(components(links)), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    links = links.unionAll(shared.saved(verified(shared.saved(crossings(mine, percent)), sets, percent)))
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     alike = own.join(ends, "id", "left_semi").join(copies, ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionAll(alike))
