@@ -22,8 +22,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The direction of a vector; the zero vector stays zero."""
-    n = norm(a)
-    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+    # the norm is bound by an outer lambda, else each element would compute it again
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))), 1)
 
 
 def scaled(a: Column, factors: Iterable[float]) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .linalg import CellMatrix
+
 
 def normalised(cells: DataFrame) -> DataFrame:
     """Unit rows; rows of zeros vanish."""
@@ -21,24 +24,35 @@ def cosines(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(dots, ["i", "j"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
-def answers(units: DataFrame, questions: DataFrame, n: int = 5) -> DataFrame:
-    """(qid, rnk, id, score) for questions(qid, a, b, c) in ids: the signed sum of three rows meets all rows by j.
+def answers(units: DataFrame, questions: DataFrame, n: int = 5, block: int = 256) -> DataFrame:
+    """(qid, rnk, id, score) for questions(qid, a, b, c) in ids: the n rows nearest to b - a + c.
 
-    Rows that share nothing score 0 and only matter where fewer than n share something; they are
-    filled in by id, highest first. Inputs and empty rows never answer.
+    Questions are a bounded set. Blocks of their targets go through the distributed product; what
+    comes back is a number a word and question. Rows that share nothing score 0; inputs and empty
+    rows never answer.
     """
-    target = None
-    for w, sign in (("a", -1), ("b", 1), ("c", 1)):
-        part = questions.select("qid", F.col(w).alias("i")).join(units, "i").select("qid", "j", (sign * F.col("v")).alias("t"))
-        target = part if target is None else target.unionAll(part)
-    target = target.groupBy("qid", "j").agg(F.sum("t").alias("t")).where("t <> 0")
-    met = target.join(units, "j").groupBy("qid", F.col("i").alias("id")).agg(F.sum(F.col("t") * F.col("v")).alias("score"))
-    spare = units.select(F.col("i").alias("id")).distinct().orderBy(F.desc("id"))
-    # questions are a bounded set, words a vocabulary
-    zero = questions.select("qid").crossJoin(F.broadcast(spare)).join(met.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    every = met.unionByName(zero).join(questions.select("qid", F.explode(F.array("a", "b", "c")).alias("id")), ["qid", "id"], "left_anti")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("id"))
-    return every.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= n).select("qid", "rnk", "id", "score")
+    rows = questions.orderBy("qid").collect()
+    schema = "qid long, rnk int, id long, score double"
+    size = (units.agg(F.max(F.greatest("i", "j"))).first()[0] or 0) + 1
+    m = CellMatrix(units, int(size))
+    filled = np.zeros(size, bool)
+    filled[[r["i"] for r in m.cells.select("i").distinct().collect()]] = True
+    out = []
+    for lo in range(0, len(rows), block):
+        part = rows[lo : lo + block]
+        asked = {r[w] for r in part for w in "abc"}
+        cells = m.cells.where(F.col("i").isin(list(asked))).toArrow()
+        vec = {k: np.zeros(size) for k in asked}
+        for i, j, v in zip(*(cells[c].to_pylist() for c in ("i", "j", "v")), strict=True):
+            vec[i][j] = v
+        scores = m.times(np.array([vec[r["b"]] - vec[r["a"]] + vec[r["c"]] for r in part]).T).T
+        scores[:, ~filled] = -np.inf
+        for r, s in zip(part, scores, strict=True):
+            s[[r["a"], r["b"], r["c"]]] = -np.inf
+            top = np.lexsort((-np.arange(size), -s))[:n]
+            out += [(r["qid"], k, int(i), float(s[i])) for k, i in enumerate(top, 1) if np.isfinite(s[i])]
+    m.close()
+    return units.sparkSession.createDataFrame(out, schema)
 
 
 def similarity(units: DataFrame, a: int, b: int) -> float:
