@@ -37,7 +37,7 @@ EARLY_CLASSES = 10_000
 #: Candidates that one tree holds.
 TREE_SETS = 64
 #: Rounds that join components quickly, and members of a component that one document is held against in each.
-STAR_TURNS, STAR_TRIES = 3, 4
+STAR_TURNS, STAR_TRIES = 2, 4
 
 
 def least_overlap(a, b, percent: int):
@@ -255,6 +255,13 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(reach * (100 + percent) >= percent * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
+def settled(docs: DataFrame, pairs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """Links among the pairs; only documents that stand in a pair have their sets made and shuffled."""
+    pairs = shared.saved(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return shared.saved(verified(pairs, shared.saved(ordered_sets(docs, wanted, n, classes)), percent))
+
+
 def _fits(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
@@ -298,14 +305,13 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str
     table = shared.saved(prefixes(docs, n, percent, classes, early))
     groups = table.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("token")
     met = shared.saved(table.join(groups, "token", "left_semi"))
-    sets = shared.saved(ordered_sets(docs, met.select("id").distinct(), n, classes))
 
     mine, links = met.withColumn("component", F.col("id")), None
     for turn in range(STAR_TURNS):
-        more = shared.saved(verified(shared.saved(stars(mine, percent, turn)), sets, percent))
+        more = settled(docs, stars(mine, percent, turn), n, percent, classes)
         links = more if links is None else links.unionAll(more)
         mine = met.join(shared.saved(components(links)), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    links = links.unionAll(shared.saved(verified(shared.saved(crossings(mine, percent)), sets, percent)))
+    links = links.unionAll(settled(docs, crossings(mine, percent), n, percent, classes))
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     alike = own.join(ends, "id", "left_semi").join(copies, ["d1", "d2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionAll(alike))
