@@ -150,12 +150,12 @@ def digests(docs: DataFrame, n: int) -> DataFrame:
 
 
 def frequency_classes(totals: np.ndarray) -> np.ndarray:
-    return np.minimum(255, 4 * np.log2(totals + 1.0)).astype(np.uint64)
+    return np.minimum(255, 4 * np.log2(totals + 1.0)).astype(np.uint8)
 
 
 def ordered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Keys whose ascending order is the global one: frequency class, then hash."""
-    keys = (classes[_bucket(s)] << np.uint64(56)) | (s >> np.uint64(8))
+    keys = (classes[_bucket(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
     keys.sort()
     return keys
 
