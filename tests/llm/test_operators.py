@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -215,3 +216,21 @@ def test_rare_words_meet_by_a_join(docs, monkeypatch):
     whole = sorted((r["n_known"], round(r["base_score"], 4)) for r in lm.lm_scores(docs, PATH).collect())
     monkeypatch.setattr(lm, "HOT_WORDS", 2)
     assert sorted((r["n_known"], round(r["base_score"], 4)) for r in lm.lm_scores(docs, PATH).collect()) == whole
+
+
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    long_ = " ".join(f"w{k % 900}" for k in range(3000))
+    rows = [(k, f"some words of document {k}") for k in range(60)] + [(100, long_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned, train = [], lm.train_everywhere
+    monkeypatch.setattr(lm, "train_everywhere", lambda *a: learned.append(train(*a)))
+    lm.lm_scores(df, PATH, held=7).collect()  # no document is held out
+    lib = fastbpe.encoder(PATH).lib
+    assert learned == [sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)]
+    few = lm.encoded(df.where("doc_id < 10").select("text"), PATH)
+    sample = [r["ids"] for r in few.collect()]
+    sym = lm.Symbols([np.frombuffer(x, "<u2").astype(int) for x in sample])
+    models = [lm.Attention(sym, np.zeros(lm.VOCABULARY_SIZE), np.zeros((lm.SYMBOLS + lm.CLASSES) * sym.cells)) for _ in range(2)]
+    train(models[0], few)
+    train(models[1], few.unionAll(lm.encoded(df.where("doc_id = 100").select("text"), PATH)))
+    assert abs(models[0].p["E"] - models[1].p["E"]).max() > 0

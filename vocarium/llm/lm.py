@@ -9,9 +9,10 @@ its ids and the end.
 Contexts are windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``; each id is scored once, in the window
 where it has most context. Windows of many documents go through in batches under one causal mask.
 
-The weights are fitted on the ids of at most ``TRAIN_DOCS`` training documents (lowest hash of the id), at
-most ``TRAIN_IDS`` ids in all; counts of words and ids are over every training document. The base score
-is the add-one word model: the commonest words' counts go to all workers (a fixed number), the
+The weights are fitted on every id of every training document: in each of ``EPOCHS`` rounds all tasks start from
+the same weights, go through their documents, and the mean by number of ids starts the next round. Classes and
+counts of words, ids and pairs are over every training document too. Ids are written once, two bytes each. The
+base score is the add-one word model: the commonest words' counts go to all workers (a fixed number), the
 others meet by a join of (document, word) rows.
 
 Null and empty texts are an end token alone. A null id counts as the text ''. Repeated rows are scored
@@ -20,7 +21,8 @@ each; extra columns stay out. Without training documents all counts are zero and
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import copy
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,11 @@ from .wordhash import BLANK_WORDS, LOWER, word_hashes
 WINDOW, STRIDE, WIDTH, CLASSES = 48, 40, 16, 64
 #: Ids with a symbol of their own as context, and as what follows; the others go by class.
 SYMBOLS, NEXT = 512, 4096
-TRAIN_DOCS, TRAIN_IDS, EPOCHS = 3000, 1_000_000, 2
+EPOCHS = 2
+#: Ranks of the id before that classes are told by; all rarer ids count as one.
+BEFORE = 256
+#: Groups in which tasks' weights are added before they reach the driver.
+SUMS = 16
 #: Words whose counts every worker gets; the rest are joined.
 HOT_WORDS = 1 << 16
 #: The end token among word hashes.
@@ -67,57 +73,105 @@ def fast_exp(z: np.ndarray) -> np.ndarray:
     return z.astype(np.int32).view(np.float32)
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    rank = np.empty(VOCABULARY_SIZE, np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(VOCABULARY_SIZE)
+    return rank
+
+
+def ids_before(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The id before each id; first: where documents begin."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[first] = END_ID
+    return before
+
+
+def contexts(ids: np.ndarray, first: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """rank of the id before (at most BEFORE - 1) * VOCABULARY_SIZE + id, of each id."""
+    return np.minimum(rank[ids_before(ids, first)], BEFORE - 1) * VOCABULARY_SIZE + ids
+
+
 class Symbols:
-    """How ids are told apart: class, symbol as context, cell as what follows. Taken from the sample's counts."""
+    """How ids are told apart: class, symbol as context, cell as what follows. Taken from counts of ids and contexts."""
 
     def __init__(self, sample: list[np.ndarray]):
         counts = np.bincount(np.concatenate(sample), minlength=VOCABULARY_SIZE) if sample else np.zeros(VOCABULARY_SIZE)
-        self.assign(counts, sample)
+        seen = [contexts(s, np.array([0]), ranks(counts)) for s in sample]
+        self._tell(counts, *np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True))
+
+    @classmethod
+    def counted(cls, counts: np.ndarray, key: np.ndarray, times: np.ndarray) -> Symbols:
+        """From counts of all ids, and those of the distinct contexts."""
+        out = cls.__new__(cls)
+        out._tell(counts, key, times)
+        return out
+
+    def _tell(self, counts: np.ndarray, key: np.ndarray, times: np.ndarray) -> None:
+        self.assign(counts, key, times)
         self.cell = np.where(self.rank < NEXT, self.rank, NEXT + self.cls)
         self.cells = NEXT + CLASSES
         self.cell_class = np.concatenate((self.cls[np.argsort(self.rank)[:NEXT]], np.arange(CLASSES)))
 
     def pairs(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """symbol of the id before * cells + cell, of each id; first: where documents begin."""
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[first] = END_ID
-        return self.symbol[before] * self.cells + self.cell[ids]
-
-    def assign(self, counts: np.ndarray, sample: list[np.ndarray]) -> None:
-        """Classes of ids: the commonest alone, the others by what stands before them in the sample."""
-        order = np.argsort(-counts, kind="stable")
+        return self.symbol[ids_before(ids, first)] * self.cells + self.cell[ids]
+
+    def assign(self, counts: np.ndarray, key: np.ndarray, times: np.ndarray) -> None:
+        """Classes of ids: the commonest alone, the others by what stands before them."""
+        order, rank = np.argsort(-counts, kind="stable"), ranks(counts)
         alone = CLASSES // 2
         cls = np.full(VOCABULARY_SIZE, CLASSES - 1)
         cls[order[:alone]] = np.arange(alone)
-        rank = np.empty(VOCABULARY_SIZE, np.int64)
-        rank[order] = np.arange(VOCABULARY_SIZE)
-        before = np.minimum(rank, 255)
-        seen: dict[int, np.ndarray] = {}
-        if sample:
-            pairs = np.concatenate([before[np.concatenate(([END_ID], s[:-1]))] * VOCABULARY_SIZE + s for s in sample])
-            key, times = np.unique(pairs, return_counts=True)
-            ids = key % VOCABULARY_SIZE
-            rest = np.setdiff1d(np.unique(ids), order[:alone])
-            at = np.searchsorted(rest, ids)
-            ok = (at < len(rest)) & (rest[np.minimum(at, len(rest) - 1)] == ids) if len(rest) else np.zeros(len(ids), bool)
-            m = np.zeros((len(rest), 256))
-            np.add.at(m, (at[ok], key[ok] // VOCABULARY_SIZE), times[ok])
+        ids = key % VOCABULARY_SIZE
+        rest = np.setdiff1d(np.unique(ids), order[:alone])
+        k = CLASSES - alone - 1
+        if len(rest) > k:
+            at = np.minimum(np.searchsorted(rest, ids), len(rest) - 1)
+            ok = rest[at] == ids
+            m = np.zeros((len(rest), BEFORE), np.float32)
+            m[at[ok], key[ok] // VOCABULARY_SIZE] = times[ok]
             weight = m.sum(1)
-            m = np.sqrt(m / np.maximum(weight, 1)[:, None])
-            k = CLASSES - alone - 1
-            if len(rest) > k:
-                centre = m[np.argsort(-weight, kind="stable")[:k]]
-                for _ in range(12):
-                    near = np.argmax(m @ centre.T - 0.5 * (centre**2).sum(1), axis=1)
-                    for c in range(k):
-                        if (near == c).any():
-                            centre[c] = np.average(m[near == c], axis=0, weights=weight[near == c])
-                cls[rest] = alone + near
+            m /= np.maximum(weight, 1)[:, None]
+            np.sqrt(m, out=m)
+            centre = m[np.argsort(-weight, kind="stable")[:k]]
+            for _ in range(12):
+                near = np.argmax(m @ centre.T - 0.5 * (centre**2).sum(1), axis=1)
+                for c in range(k):
+                    mine = np.flatnonzero(near == c)
+                    if len(mine):
+                        centre[c] = weight[mine] @ m[mine] / weight[mine].sum()
+            cls[rest] = alone + near
         self.cls, self.rank = cls.astype(np.int64), rank
         self.symbol = np.where(rank < SYMBOLS, rank, SYMBOLS + cls)
 
 
+def row_sums(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(size, width): rows added up by their place."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(at, kind="stable")
+    places, start = np.unique(at[order], return_index=True)
+    out[places] = np.add.reduceat(rows[order], start, axis=0)
+    return out
+
+
+class Adam:
+    """Running moments of gradients; the table B moves slower."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.m = {n: np.zeros_like(v) for n, v in p.items()}
+        self.s2 = {n: np.zeros_like(v) for n, v in p.items()}
+        self.step = 0
+
+    def update(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        now = rate * min(1, self.step / 50)
+        for n, v in g.items():
+            self.m[n] += 0.1 * (v - self.m[n])
+            self.s2[n] += 0.01 * (v * v - self.s2[n])
+            p[n] -= (now * (0.3 if n == "B" else 1)) * (self.m[n] / (1 - 0.9**self.step)) / (np.sqrt(self.s2[n] / (1 - 0.99**self.step)) + 1e-8)
+
+
 class Attention:
     """Weights, training and scoring. counts: of ids; pairs: of (symbol before, cell), over the corpus."""
 
@@ -187,33 +241,25 @@ class Attention:
         e = fast_exp(z)
         return np.log(e[np.arange(len(e)), y.ravel()] / (e @ np.ones(CLASSES, np.float32))).reshape(x.shape)
 
-    def train(self, sample: list[np.ndarray], epochs: int = EPOCHS, rate: float = 1e-2, seed: int = 9, batch: int = 16) -> None:
-        if not sample:
-            return
-        xs, ys = [], []
-        for s in sample:
-            inp = np.concatenate(([END_ID], s[:-1]))
-            for lo in range(0, len(s), WINDOW):
-                w = slice(lo, lo + WINDOW)
-                pad = WINDOW - len(s[w])
-                xs.append(np.pad(self.symbols.symbol[inp[w]], (0, pad)))
-                ys.append(np.pad(self.symbols.cls[s[w]], (0, pad), constant_values=-1))
-        x, y = np.array(xs), np.array(ys)
-        rng = np.random.default_rng(seed)
-        m = {n: np.zeros_like(v) for n, v in self.p.items()}
-        s2 = {n: np.zeros_like(v) for n, v in self.p.items()}
-        step, total = 0, epochs * -(-len(x) // batch)
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch):
-                pick = order[lo : lo + batch]
-                g = self.gradients(x[pick], y[pick])
-                step += 1
-                now = rate * min(1, step / 50) * (1 - 0.9 * step / total)
-                for n, v in g.items():
-                    m[n] += 0.1 * (v - m[n])
-                    s2[n] += 0.01 * (v * v - s2[n])
-                    self.p[n] -= (now * (0.3 if n == "B" else 1)) * (m[n] / (1 - 0.9**step)) / (np.sqrt(s2[n] / (1 - 0.99**step)) + 1e-8)
+    def train(self, sample: list[np.ndarray], epochs: int = EPOCHS, seed: int = 9, batch: int = 16) -> None:
+        """Rounds over documents that one process holds."""
+        for epoch in range(epochs if sample else 0):
+            self.learn(np.concatenate(sample), np.array([len(s) for s in sample]), Adam(self.p), pace(epoch, epochs), np.random.default_rng((seed, epoch)), batch)
+
+    def learn(self, ids: np.ndarray, per: np.ndarray, adam: Adam, rate: float, rng: np.random.Generator, batch: int = 16) -> None:
+        """One pass over all windows of whole documents, in random order; ids (ends included) lie one document after the other."""
+        first = np.cumsum(per) - per
+        x_of, y_of = self.symbols.symbol[ids_before(ids, first)].astype(np.int16), self.symbols.cls[ids].astype(np.int16)
+        n_win = -(-per // WINDOW)
+        start = shared.ragged(np.zeros(len(per), np.int64), n_win) * WINDOW
+        size = np.minimum(WINDOW, np.repeat(per, n_win) - start)
+        start += np.repeat(first, n_win)
+        order = rng.permutation(len(start))
+        for lo in range(0, len(order), batch):
+            w = order[lo : lo + batch]
+            inside = np.arange(WINDOW) < size[w][:, None]
+            at = np.minimum(start[w][:, None] + np.arange(WINDOW), len(ids) - 1)
+            adam.update(self.p, self.gradients(np.where(inside, x_of[at], 0), np.where(inside, y_of[at], -1)), rate)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, d = self.p, WIDTH
@@ -226,8 +272,7 @@ class Attention:
         z[i, j, y[i, j]] -= 1
         z *= (real / n)[..., None].astype(np.float32)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(h2).T @ flat(z), "B": np.zeros_like(p["B"]), "E": np.zeros_like(p["E"])}
-        np.add.at(g["B"], x.ravel(), flat(z))
+        g = {"out": flat(h2).T @ flat(z), "B": row_sums(len(p["B"]), x.ravel(), flat(z))}
         dh = z @ p["out"].T
         g["W2"] = flat(r).T @ flat(dh)
         dr = (dh @ p["W2"].T) * (r > 0)
@@ -243,7 +288,7 @@ class Attention:
         dh = dh + dqkv @ p["QKV"].T
         g["P"] = np.zeros_like(p["P"])
         g["P"][: x.shape[1]] = dh.sum(0)
-        np.add.at(g["E"], x.ravel(), flat(dh))
+        g["E"] = row_sums(len(p["E"]), x.ravel(), flat(dh))
         return g
 
     def score(self, ids: np.ndarray, per: np.ndarray, batch: int = 48) -> np.ndarray:
@@ -279,26 +324,29 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key, np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, tokenizer: str, symbols: Symbols) -> DataFrame:
-    """(kind, key, n): counts of words (0), subword ids (1), and pairs of symbol and cell (2) over docs(text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(symbols)
+def pace(epoch: int, epochs: int, rate: float = 1e-2) -> float:
+    """The learning rate of a round, falling from one to the next."""
+    return rate * (1 - 0.9 * (epoch + 0.5) / epochs)
+
+
+def _count_rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(key), 50_000):
+        k = key[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n[lo : lo + 50_000].astype(np.int64))], ["key", "n"])
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, n): counts of words by hash, the end among them, over docs(text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = fastbpe.encoder(tokenizer)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        known = sent.value
-        subwords = np.zeros(VOCABULARY_SIZE, np.int64)
-        follow = np.zeros((SYMBOLS + CLASSES) * known.cells, np.int32)
-
-        def rows(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(key), 50_000):
-                k = key[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n[lo : lo + 50_000])], ["kind", "key", "n"])
-
         for b in batches:
-            arr = shared.plain(b.column(0))
-            for _, _, buf, offs in shared.chunks(arr):
+            for _, _, buf, offs in shared.chunks(shared.plain(b.column(0))):
                 h, _ = word_hashes(buf, offs)
                 key, n = np.unique(np.concatenate((h, np.full(len(offs) - 1, END_WORD))), return_counts=True)
                 held.append((key, n))
@@ -307,46 +355,109 @@ def corpus_counts(docs: DataFrame, tokenizer: str, symbols: Symbols) -> DataFram
                     held = [_merge(held)]
                     size = len(held[0][0])
                     if size > 1_000_000:
-                        yield from rows(0, *held[0])
+                        yield from _count_rows(*held[0])
                         held, size = [], 0
-            texts = lower_texts(arr)
-            for lo, hi in fastbpe.chunked(texts):
-                ids, per = with_ends(*coder.encode(texts[lo:hi]))
-                subwords += np.bincount(ids, minlength=VOCABULARY_SIZE)
-                key, n = np.unique(known.pairs(ids, np.cumsum(per) - per), return_counts=True)
-                follow[key] += n.astype(np.int32)
         if held:
-            yield from rows(0, *_merge(held))
-        used = np.flatnonzero(subwords)
-        yield from rows(1, used, subwords[used])
-        used = np.flatnonzero(follow)
-        yield from rows(2, used, follow[used].astype(np.int64))
+            yield from _count_rows(*_merge(held))
 
-    return docs.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return _added(docs.mapInArrow(run, "key long, n long"))
 
 
-def training_sample(docs: DataFrame, tokenizer: str, most: int = TRAIN_DOCS) -> list[np.ndarray]:
-    """Ids (with the end) of a bounded sample of docs(id, text), in a fixed order."""
-    picked = docs.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(ids): the subword ids of every one of docs(text), whole and with the end, two bytes each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = fastbpe.encoder(tokenizer)
         for b in batches:
-            out = [np.append(coder.encode([t])[0], END_ID).astype("<u4")[:TRAIN_IDS].tobytes() for t in lower_texts(shared.plain(b.column("text")))]
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), pa.array(out, pa.binary())], ["id", "ids"])
-
-    rows = docs.join(F.broadcast(picked), "id", "left_semi").mapInArrow(run, "id string, ids binary").select(F.xxhash64("id").alias("h"), "id", "ids")
-    # running totals on executors would need a sort of their own; the sample is at most ``most`` documents
-    out, size = [], 0
-    for r in rows.orderBy("h", "id", "ids").limit(most).toLocalIterator():
-        ids = np.frombuffer(r["ids"], "<u4").astype(np.int64)[: TRAIN_IDS - size]
-        out.append(ids)
-        size += len(ids)
-        if size >= TRAIN_IDS:
-            break
+            texts = lower_texts(shared.plain(b.column(0)))
+            for lo, hi in fastbpe.chunked(texts):
+                ids, per = with_ends(*coder.encode(texts[lo:hi]))
+                data, upto = ids.astype("<u2").tobytes(), np.cumsum(per) * 2
+                yield pa.RecordBatch.from_arrays([pa.array([data[z - 2 * n : z] for z, n in zip(upto.tolist(), per.tolist(), strict=True)], pa.binary())], ["ids"])
+
+    return docs.mapInArrow(run, "ids binary")
+
+
+def _ids(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, length of each document) of the rows of ``encoded``, in runs of whole documents."""
+    for b in batches:
+        rows, size = [], 0
+        for x in b.column(0):
+            rows.append(np.frombuffer(x.as_buffer(), "<u2"))
+            size += len(rows[-1])
+            if size > 1_000_000:
+                yield np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
+                rows, size = [], 0
+        if rows:
+            yield np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
+
+
+def id_counts(table: DataFrame, size: int, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+    """(key, n) of all keys_of(ids, where documents begin) below size; the driver gets at most ``size`` rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int32)
+        for ids, per in _ids(batches):
+            key, n = np.unique(keys_of(ids, np.cumsum(per) - per), return_counts=True)
+            total[key] += n.astype(np.int32)
+        used = np.flatnonzero(total)
+        yield from _count_rows(used, total[used])
+
+    return _added(table.mapInArrow(run, "key long, n long")).toArrow()
+
+
+def _filled(got: pa.Table, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    out[got["key"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
+def train_everywhere(model: Attention, table: DataFrame) -> int:
+    """Fit the weights on all documents of table(ids); the number of ids that one round learns from.
+
+    Every task's weights, times its number of ids, are added up in SUMS groups; the driver gets those sums only.
+    """
+    names = list(model.p)
+    learned = 0
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, ids = None, 0
+        for b in batches:
+            for n, x in zip(b.column("n").to_pylist(), b.column("p"), strict=True):
+                v = np.frombuffer(x.as_buffer(), np.float64)
+                total, ids = (v.copy() if total is None else total + v), ids + n
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"task": pa.array([0], pa.int32()), "n": pa.array([ids], pa.int64()), "p": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "task int, n long, p binary"
+    for epoch in range(EPOCHS):
+        sent = table.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            task, net = TaskContext.get().partitionId(), copy.copy(sent.value)
+            net.p = {k: v.copy() for k, v in net.p.items()}
+            adam, rng, n = Adam(net.p), np.random.default_rng((9, epoch, task)), 0
+            for ids, per in _ids(batches):
+                net.learn(ids, per, adam, pace(epoch, EPOCHS), rng)
+                n += len(ids)
+            if n:
+                p = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64) * n
+                yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "n": pa.array([n], pa.int64()), "p": pa.array([p.tobytes()], pa.binary())})
+
+        parts = table.mapInArrow(run, schema).repartition(SUMS, F.col("task") % SUMS).sortWithinPartitions("task").mapInArrow(add, schema)
+        rows = parts.collect()
+        if not rows:
+            return 0
+        learned = sum(r["n"] for r in rows)
+        mean = np.sum([np.frombuffer(r["p"], np.float64) for r in rows], axis=0) / learned
+        lo = 0
+        for k in names:
+            v = model.p[k]
+            model.p[k] = mean[lo : lo + v.size].reshape(v.shape).astype(v.dtype)
+            lo += v.size
+    return learned
+
+
 def lm_scores(df: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = df.sparkSession
@@ -354,23 +465,23 @@ def lm_scores(df: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, id_c
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     docs = docs.withColumn("held_out", fold(F.coalesce(docs["id"].cast("string"), F.lit("")), folds) == held)
     learn = docs.where(~F.col("held_out"))
-    sample = training_sample(learn, tokenizer)
-    symbols = Symbols(sample)
-    counts = shared.saved(corpus_counts(learn.select("text"), tokenizer, symbols))
-    words = counts.where("kind = 0")
+    table = shared.saved(encoded(learn.select("text"), tokenizer))
+    sub = _filled(id_counts(table, VOCABULARY_SIZE, lambda ids, first: ids), VOCABULARY_SIZE)
+    rank = ranks(sub)
+    seen = id_counts(table, BEFORE * VOCABULARY_SIZE, lambda ids, first: contexts(ids, first, rank))
+    symbols = Symbols.counted(sub, seen["key"].to_numpy(), seen["n"].to_numpy())
+    known, cells = spark.sparkContext.broadcast(symbols), (SYMBOLS + CLASSES) * symbols.cells
+    model = Attention(symbols, sub, _filled(id_counts(table, cells, lambda ids, first: known.value.pairs(ids, first)), cells))
+    train_everywhere(model, table)
+
+    words = shared.saved(word_counts(learn.select("text")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    sub, pairs = np.zeros(VOCABULARY_SIZE), np.zeros((SYMBOLS + CLASSES) * symbols.cells)
-    for kind, into in ((1, sub), (2, pairs)):  # at most as many rows as the tables have places
-        got = counts.where(F.col("kind") == kind).select("key", "n").toArrow()
-        into[got["key"].to_numpy()] = got["n"].to_numpy()
     hot = words.select("key", "n").orderBy(F.desc("n"), "key").limit(HOT_WORDS).toArrow()
     hot_key = hot["key"].to_numpy().view(np.uint64)
     by_key = np.argsort(hot_key)
     hot_key, hot_n = hot_key[by_key], hot["n"].to_numpy()[by_key]
     complete = distinct <= HOT_WORDS
 
-    model = Attention(symbols, sub, pairs)
-    model.train(sample)
     sent = spark.sparkContext.broadcast((model, hot_key, np.log10(hot_n + 1.0)))
     kind = docs.schema["id"].dataType.simpleString()
     names = ["rid", "id", "held_out", "n_tokens", "n_known", "known_log", "score", "key", "times"]
