@@ -234,3 +234,13 @@ def test_language_model_learns_from_every_training_document(spark, monkeypatch):
     train(models[0], few)
     train(models[1], few.unionAll(lm.encoded(df.where("doc_id = 100").select("text"), PATH)))
     assert abs(models[0].p["E"] - models[1].p["E"]).max() > 0
+
+
+def test_pii_gives_a_name_one_surrogate_whatever_the_title(spark):
+    first = [f"{a}{b}" for a in "BCDFGHKLM" for b in ("ova", "una", "ira", "ela", "ota")]
+    texts = [f"{t} {n} Zz" for n in first for t in ("Mr", "Ms", "Dr")]
+    out = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"key")
+    made = {r["doc_id"]: r["text"].split(" ", 1)[1] for r in out.collect()}
+    by_name = [{made[3 * k + j] for j in range(3)} for k in range(len(first))]
+    assert all(len(x) == 1 for x in by_name)
+    assert len(set.union(*by_name)) == len(first) and not set.union(*by_name) & {f"{n} Zz" for n in first}

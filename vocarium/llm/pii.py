@@ -5,10 +5,11 @@ digit, secrets after words such as ``token =``, and personal names (a title or a
 capitalised word). A surrogate comes from a keyed permutation of all values of the same format: letters
 stay letters of their script and case, digits stay digits, marks stay; card check digits are made valid.
 A permutation gives equal values equal surrogates everywhere and different values different ones. First
-names go to first names of the same gender and script; as those lists are short and e.g. a value may meet
-its own surrogate, every distinct (value, surrogate) pair of the corpus is checked: where two values of a
-type share a surrogate, or a surrogate is a value that really occurs, all but the smallest value draw
-again until none collide.
+names go to first names of the same gender and script; a name that titles of the corpus give one gender has it
+wherever it stands, one that they give both has none, so every value has one surrogate. As those lists are short
+and e.g. a value may meet its own surrogate, every distinct (value, surrogate) pair of the corpus is checked: where
+two values of a type share a surrogate, or a surrogate is a value that really occurs, all but the smallest value
+draw again until none collide.
 
 Null texts stay null, empty ones empty. Documents without entities keep their bytes. Repeated rows get
 equal results. Extra columns are kept as they are; ``pii_types`` and ``pii_count`` are written anew.
@@ -189,13 +190,14 @@ def fitted(kind: str, value: str, new: str) -> str:
     return new
 
 
-def pseudonymise(text: str, key: bytes, drawn: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (type, normal value, surrogate) of each occurrence."""
+def pseudonymise(text: str, key: bytes, drawn: dict[tuple[str, str], tuple[str, int]] | None = None) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates, and (type, normal value, surrogate) of each occurrence. drawn: detail and attempt
+    of values for which those of the occurrence don't hold."""
     out, done, seen = [], 0, []
     for a, z, kind, detail in find(text):
         value = text[a:z]
         n = normal(kind, value)
-        new = surrogate(key, kind, n, detail, (drawn or {}).get((kind, n), 0))
+        new = surrogate(key, kind, n, *(drawn or {}).get((kind, n), (detail, 0)))
         seen.append((kind, n, new))
         out += (text[done:a], fitted(kind, value, new))
         done = z
@@ -222,34 +224,42 @@ def replace_pii(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
 
     def entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {(*e, d) for t in shared.plain(b.column(0)).to_pylist() for (e, d) in _with_detail(t, key)}
+            rows = {e for t in shared.plain(b.column(0)).to_pylist() for e in _with_detail(t)}
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "value", "made", "detail"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "value", "detail"])
 
-    found = texts.mapInArrow(entities, "kind string, value string, made string, detail string")
-    values = shared.saved(found.groupBy("kind", "value").agg(F.min("made").alias("made"), F.min("detail").alias("detail")).withColumn("attempt", F.lit(0)))
+    # one detail a value: the only gender that its titles tell, else none; mixed: some occurrence tells another one
+    told = F.when(F.col("detail") != "", F.col("detail"))
+    found = texts.mapInArrow(entities, "kind string, value string, detail string").groupBy("kind", "value")
+    found = found.agg(F.min(told).alias("x"), F.max(told).alias("y"), (F.min("detail") != F.max("detail")).alias("mixed"))
+    found = found.select("kind", "value", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise("").alias("detail"), F.lit(0).alias("attempt"), "mixed")
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind, value, detail, attempt = (b.column(k).to_pylist() for k in range(4))
             made = [surrogate(key, *x) for x in zip(kind, value, detail, attempt, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string()), b.column(2), b.column(3)], ["kind", "value", "made", "detail", "attempt"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "value", "detail", "attempt", "mixed", "made"])
+
+    schema = "kind string, value string, detail string, attempt int, mixed boolean, made string"
+    values = shared.saved(found.mapInArrow(again, schema))
 
     for _ in range(most_rounds):
         clash = shared.saved(_collisions(values.select("kind", "value", "made")))
         if clash.isEmpty():
             break
-        redrawn = values.join(clash, ["kind", "value"], "left_semi").select("kind", "value", "detail", (F.col("attempt") + 1).alias("attempt")).mapInArrow(again, "kind string, value string, made string, detail string, attempt int")
+        redrawn = values.join(clash, ["kind", "value"], "left_semi").select("kind", "value", "detail", (F.col("attempt") + 1).alias("attempt"), "mixed").mapInArrow(again, schema)
         values = shared.saved(values.join(clash, ["kind", "value"], "left_anti").unionByName(redrawn))
     else:
         raise RuntimeError("surrogates still collide")
-    return _rewritten(df, values.where("attempt > 0").select("kind", "value", "attempt"), key, text_col)
+    return _rewritten(df, values.where("attempt > 0 or mixed").select("kind", "value", "detail", "attempt"), key, text_col)
 
 
-def _with_detail(text: str, key: bytes):
+def _with_detail(text: str) -> Iterator[tuple[str, str, str]]:
+    """(type, normal value, detail), the detail only where a surrogate rests on it: known first names have their own gender."""
     for a, z, kind, detail in find(text):
         n = normal(kind, text[a:z])
-        yield (kind, n, surrogate(key, kind, n, detail)), detail
+        words = n.split(" ")
+        yield kind, n, detail if len(words) > 1 and words[0] not in _NAMES else ""
 
 
 def _rewritten(df: DataFrame, drawn: DataFrame, key: bytes, text_col: str) -> DataFrame:
@@ -268,7 +278,7 @@ def _rewritten(df: DataFrame, drawn: DataFrame, key: bytes, text_col: str) -> Da
             out, kinds, counts = [], [], []
             extra = b.column("drawn").to_pylist() if "drawn" in b.schema.names else [None] * len(text)
             for t, d in zip(text.to_pylist(), extra, strict=True):
-                new, seen = (None, []) if t is None else pseudonymise(t, key, {(x["kind"], x["value"]): x["attempt"] for x in d or ()})
+                new, seen = (None, []) if t is None else pseudonymise(t, key, {(x["kind"], x["value"]): (x["detail"], x["attempt"]) for x in d or ()})
                 out.append(new)
                 kinds.append(sorted({k for k, _, _ in seen}))
                 counts.append(len(seen))
@@ -276,7 +286,7 @@ def _rewritten(df: DataFrame, drawn: DataFrame, key: bytes, text_col: str) -> Da
 
     if not drawn.isEmpty():
         slim = df.select(F.xxhash64(df[text_col]).alias("h"), df[text_col].alias("text"))
-        held = slim.mapInArrow(occurrences, "h long, kind string, value string").join(drawn, ["kind", "value"]).groupBy("h").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("drawn"))
+        held = slim.mapInArrow(occurrences, "h long, kind string, value string").join(drawn, ["kind", "value"]).groupBy("h").agg(F.collect_set(F.struct("kind", "value", "detail", "attempt")).alias("drawn"))
         packed = packed.withColumn("h", F.xxhash64("text")).join(held, "h", "left").drop("h")
     row = packed.schema["row"].dataType.simpleString()
     out = packed.mapInArrow(write, f"row {row}, text string, pii_types array<string>, pii_count long")
