@@ -244,3 +244,9 @@ def test_pii_gives_a_name_one_surrogate_whatever_the_title(spark):
     by_name = [{made[3 * k + j] for j in range(3)} for k in range(len(first))]
     assert all(len(x) == 1 for x in by_name)
     assert len(set.union(*by_name)) == len(first) and not set.union(*by_name) & {f"{n} Zz" for n in first}
+
+
+def test_components_that_are_not_done_are_an_error(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(1, 12)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(e, most_rounds=1)

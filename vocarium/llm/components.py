@@ -33,4 +33,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, seen = marked(small.where("a <> b").distinct())
         if last == seen:
             break
+    else:
+        raise RuntimeError("components still change")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
