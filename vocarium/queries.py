@@ -574,11 +574,14 @@ def claims_sigma_check(spark, sf_dir):
 
 # --- factorisation and what rests on it: no SQL for eigenvectors -----------------------
 
-SMALL = Config(vocab_size=600, dim=16, oversample=8, power_iterations=2, krylov_block=12, krylov_depth=3)
+#: The engine's own settings; every query below runs the operators with them and with the operators' defaults.
+WHOLE = Config()
+#: Tokens that a document's halves alternate by. Few documents of the tables have the default's 4,000, so that would leave hardly any text for the truth.
+BLOCK = 200
 
 
 def _stages(spark, sf_dir) -> Stages:
-    return Stages(tokens_of(_table(spark, sf_dir, "documents"), SMALL).persist())
+    return Stages(tokens_of(_table(spark, sf_dir, "documents"), WHOLE).persist())
 
 
 def _eigen(spark, values) -> DataFrame:
@@ -587,24 +590,24 @@ def _eigen(spark, values) -> DataFrame:
 
 @query()
 def factorise_subspace(spark, sf_dir):
-    return _eigen(spark, _stages(spark, sf_dir).factors(SMALL)[0])
+    return _eigen(spark, _stages(spark, sf_dir).factors(WHOLE)[0])
 
 
 @query()
 def factorise_krylov(spark, sf_dir):
-    return _eigen(spark, _stages(spark, sf_dir).factors(SMALL.with_(factoriser="krylov"))[0])
+    return _eigen(spark, _stages(spark, sf_dir).factors(WHOLE.with_(factoriser="krylov"))[0])
 
 
 @query()
 def space_neighbors(spark, sf_dir):
-    s = _stages(spark, sf_dir).space(SMALL)
+    s = _stages(spark, sf_dir).space(WHOLE)
     return s.neighbors(s.table.where("id = 0").first()["word"], 10)
 
 
 @query()
 def principal_angles(spark, sf_dir):
     st = _stages(spark, sf_dir)
-    got = laboratory.compare_subspaces(st.space(SMALL), st.space(SMALL.with_(factoriser="krylov")), (("all", 0, 16), ("top 8", 0, 8), ("tail 8", 8, 16)))
+    got = laboratory.compare_subspaces(st.space(WHOLE), st.space(WHOLE.with_(factoriser="krylov")))
     return spark.createDataFrame([(o.label, o.mean, o.aligned, o.least) for o in got], "label string, mean double, aligned int, least double")
 
 
@@ -614,45 +617,45 @@ def _totals(spark, rows) -> DataFrame:
 
 @query()
 def power_sweep(spark, sf_dir):
-    s = _stages(spark, sf_dir).space(SMALL.with_(vocab_size=4000))
+    s = _stages(spark, sf_dir).space(WHOLE)
     s.table = s.table.persist()
-    return _totals(spark, [(f"{p:g}", *t.values()) for p, t in laboratory.sweep_power(s, limit=30)])
+    return _totals(spark, [(f"{p:g}", *t.values()) for p, t in laboratory.sweep_power(s)])
 
 
 @query()
 def sign_ablation(spark, sf_dir):
-    s = _stages(spark, sf_dir).space(SMALL.with_(vocab_size=4000))
+    s = _stages(spark, sf_dir).space(WHOLE)
     s.table = s.table.persist()
-    rows = laboratory.ablate_signs(s, limit=30, random_draws=2)
+    rows = laboratory.ablate_signs(s)
     return _totals(spark, [(label, *t.values()) for label, _, t in rows])
 
 
 def _ruler(spark, sf_dir) -> laboratory.Ruler:
-    return laboratory.build_ruler(_table(spark, sf_dir, "documents"), SMALL, block=200, pair_vocab=300, pair_count=800)
+    return laboratory.build_ruler(_table(spark, sf_dir, "documents"), WHOLE, block=BLOCK)
 
 
 @query()
 def dimension_curve(spark, sf_dir):
     r = _ruler(spark, sf_dir)
-    rows = laboratory.dimension_curve(r, r.stages.space(SMALL), (4, 8, 16), limit=30)
+    rows = laboratory.dimension_curve(r, r.stages.space(WHOLE.with_(dim=max(laboratory.DIMENSIONS))))
     return spark.createDataFrame([(d, rho, t["asked"], t["top5"], t["form"]) for d, rho, t in rows], "dims int, rho double, asked long, top5 long, form long")
 
 
 @query()
 def audit_window(spark, sf_dir):
-    got = laboratory.audit(_ruler(spark, sf_dir), {"window": (2, 4)}, SMALL)
+    got = laboratory.audit(_ruler(spark, sf_dir), base=WHOLE)
     return spark.createDataFrame([(f.parameter, str(v), s) for f in got for v, s in f.scores], "parameter string, value string, rho double")
 
 
 @query()
 def audit_tokenisation(spark, sf_dir):
-    got = laboratory.audit_tokenisation(_table(spark, sf_dir, "documents"), laboratory.TOKENISATIONS[:3], SMALL, block=200, pair_vocab=300, pair_count=800)
+    got = laboratory.audit_tokenisation(_table(spark, sf_dir, "documents"), base=WHOLE, block=BLOCK)
     return spark.createDataFrame(got, "label string, rho double, coverage double")
 
 
 @query()
 def ruler_sweep(spark, sf_dir):
-    got = claims.ruler_sweep(_table(spark, sf_dir, "documents"), SMALL, laboratory.RULERS[:2], ("harmonic-window", "alpha-smoothing-off"), block=200, pair_vocab=300, pair_count=800)
+    got = claims.ruler_sweep(_table(spark, sf_dir, "documents"), WHOLE, block=BLOCK)
     return spark.createDataFrame([(c, r, e) for c, by in got.items() for r, e in by.items()], "claim string, ruler string, effect double")
 
 
@@ -662,8 +665,8 @@ def mat_mul_probe(spark, sf_dir):
     st = _stages(spark, sf_dir)
     import numpy as np
 
-    n = st.vocab(SMALL).count()
-    m = linalg.CellMatrix(st.counts(SMALL).select("i", "j", F.col("w").alias("v")), n)
+    n = st.vocab(WHOLE).count()
+    m = linalg.CellMatrix(st.counts(WHOLE).select("i", "j", F.col("w").alias("v")), n)
     y = m.times(np.ones((n, 1)))[:, 0]
     m.close()
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(y)], "i int, total double")
