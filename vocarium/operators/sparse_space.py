@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,36 @@ def cosines(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(dots, ["i", "j"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
+def all_cosines(cells: DataFrame, block: int = 256) -> DataFrame:
+    """(i, j, cosine), i < j, of every two rows that share a column, for cells above 0.
+
+    Rows are taken in blocks; each pair of blocks is one matrix product, so a row goes out once a block.
+    """
+    n = normalised(cells)
+    blocks = n.agg(F.coalesce(F.floor(F.max("i") / block) + 1, F.lit(0))).first()[0]
+    own = F.floor(F.col("i") / block).cast("int")
+    met = n.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1)))) if blocks else n.withColumn("other", F.lit(0))
+    met = met.select(F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
+
+    def product(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi = (k.as_py() for k in key)
+        i, j, v = (table[c].to_numpy() for c in ("i", "j", "v"))
+        places, at = np.unique(j, return_inverse=True)
+        sides = []
+        for b in (lo, hi):
+            mine = i // block == b
+            dense = np.zeros((block, len(places)))
+            dense[i[mine] - b * block, at[mine]] = v[mine]
+            sides.append(dense)
+        dots = sides[0] @ sides[1].T
+        a, b = np.nonzero(dots)
+        x, y = a + lo * block, b + hi * block
+        keep = x < y
+        return pa.table({"i": x[keep], "j": y[keep], "cosine": dots[a, b][keep]})
+
+    return met.groupBy("lo", "hi").applyInArrow(product, "i long, j long, cosine double")
+
+
 def answers(units: DataFrame, questions: DataFrame, n: int = 5, block: int = 256) -> DataFrame:
     """(qid, rnk, id, score) for questions(qid, a, b, c) in ids: the n rows nearest to b - a + c.
 

@@ -659,6 +659,49 @@ def ruler_sweep(spark, sf_dir):
     return spark.createDataFrame([(c, r, e) for c, by in got.items() for r, e in by.items()], "claim string, ruler string, effect double")
 
 
+# --- whole results of the queries above that have SQL twins over a subset; held against brute force in tests ----
+
+
+def _ppmi(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    st = _stages(spark, sf_dir)
+    return st.vocab(WHOLE).select("id", "word"), weight.ppmi(st.counts(WHOLE)).persist()
+
+
+def top_contexts(w: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
+    """(word, context, rnk, v): the n best contexts of every row."""
+    top = w.withColumn("rnk", F.row_number().over(Window.partitionBy("i").orderBy(F.round("v", 9).desc(), F.desc("j"))).cast("long")).where(F.col("rnk") <= n)
+    out = top.join(F.broadcast(names.select(F.col("id").alias("i"), "word")), "i").join(F.broadcast(names.select(F.col("id").alias("j"), F.col("word").alias("context"))), "j")
+    return out.select("word", "context", "rnk", F.round("v", 6).alias("v"))
+
+
+@query()
+def ppmi_top_contexts_whole(spark, sf_dir):
+    """Top ten contexts of every word of the vocabulary."""
+    names, w = _ppmi(spark, sf_dir)
+    return top_contexts(w, names)
+
+
+@query()
+def sparse_cosine_whole(spark, sf_dir):
+    """Cosines of all word pairs that share a context."""
+    return sparse_space.all_cosines(_ppmi(spark, sf_dir)[1]).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def heldout_truth_whole(spark, sf_dir):
+    """The reference's sampler: 4,000 pairs of the 1,200 commonest words."""
+    return _ruler(spark, sf_dir).actual.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("actual", 6).alias("actual"))
+
+
+@query()
+def heldout_spearman_whole(spark, sf_dir):
+    r = _ruler(spark, sf_dir)
+    own = sparse_space.all_cosines(weight.ppmi(r.stages.counts(WHOLE)).persist())
+    both = r.actual.join(own, ["i", "j"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))).select(F.round("actual", 9).alias("actual"), F.round("cosine", 9).alias("predicted"))
+    both = spark.createDataFrame(both.collect(), "actual double, predicted double")  # no more rows than pairs were drawn
+    return stats.spearman(both, "predicted", "actual").select(F.round("rho", 6).alias("rho"), "n")
+
+
 @query()
 def mat_mul_probe(spark, sf_dir):
     """Row sums by the distributed product, against the counts' marginals."""
