@@ -250,3 +250,29 @@ def test_components_that_are_not_done_are_an_error(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 12)], "a long, b long")
     with pytest.raises(RuntimeError):
         components.components(e, most_rounds=1)
+
+
+def test_every_link_inside_a_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TREE_SETS", 8)  # several blocks in the large group
+    rng = random.Random(3)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(50)}"
+        rows.append((k, " ".join(t)))
+    rows += [(60 + k, rows[3 * k][1]) for k in range(8)] + [(80, "quite another text of a few words"), (81, ""), (None, rows[0][1])]
+    s = {k: sets(t, 4) for k, t in rows if k is not None}
+    low = {}
+    for k in sorted(s):
+        low.setdefault(frozenset(s[k]), k)
+    linked = lambda a, b: s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])
+    reps = [k for f, k in low.items() if f]
+    links, members = ngram_join.ngram_jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    want = {(a, b) for a in reps for b in reps if a < b and linked(a, b)}
+    assert got == want and 100 < len(want) < len(reps) * (len(reps) - 1) // 2
+    by = {r["doc_id"]: r for r in members.collect()}
+    assert len(by) == len(rows) and by[None]["n_links"] == 0 == by[81]["n_links"] and by[None]["component_id"] is None
+    assert all(by[k]["n_links"] == sum(k != j and bool(linked(k, j)) for j in s) for k in s)
+    assert all(by[k]["class_id"] == (low[frozenset(s[k])] if s[k] else None) for k in s)

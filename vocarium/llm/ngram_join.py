@@ -9,6 +9,8 @@
    prefixes meet by n-gram. First rounds hold each document against a few members of its groups' lowest
    component; what that joins needs no further pairs. A last round takes every pair that shares a
    prefix n-gram and is not joined yet, so no link between components is lost.
+   ``ngram_jaccard_links`` then gives every link: all lie inside components, whose representatives meet block
+   by block, so a large group's sets go out once a block of partners and not once a pair.
 4. Pairs whose prefix overlap plus the remaining lengths can't reach the threshold are dropped; the
    others are settled by ``PrefixTree``: candidates of one probe in a trie, traversed with shared
    partial overlaps, subtrees pruned by the remaining-length bound.
@@ -291,8 +293,72 @@ def crossings(met: DataFrame, percent: int) -> DataFrame:
     return _bounded(pairs.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("la"), F.max("pb").alias("lb")), percent)
 
 
+def links_inside(docs: DataFrame, members: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """Every link (a, b), a < b, among members(id, component) of one component: blocks of about TREE_SETS
+    members, and each pair of blocks one prefix tree that the other block's sets traverse."""
+    groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    own = members.join(groups, "component").withColumn("blocks", F.ceil(F.col("size") / TREE_SETS).cast("int"))
+    own = shared.saved(own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "component", "block", "blocks"))
+    sets = shared.saved(ordered_sets(docs, own.select("id"), n, classes))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id").join(sets, "id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, out = None, ([], []), []
+
+        def settle():
+            if now and sides[0]:
+                tree = PrefixTree(sides[0])
+                for i, s in sides[0] if now[1] == now[2] else sides[1]:
+                    out.extend((min(i, j), max(i, j)) for j, _ in tree.search(s, percent) if i != j)
+
+        def rows():
+            pairs = sorted(set(out))
+            out.clear()
+            for lo in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs[lo : lo + 50_000], strict=True)], ["a", "b"])
+
+        for b in batches:
+            for c, lo, hi, block, i, keys in zip(*(b.column(k) for k in range(6)), strict=True):
+                key = (c.as_py(), lo.as_py(), hi.as_py())
+                if key != now:
+                    settle()
+                    now, sides = key, ([], [])
+                sides[int(block.as_py() != key[1])].append((i.as_py(), np.frombuffer(keys.as_buffer(), np.uint64)))
+            yield from rows()
+        settle()
+        yield from rows()
+
+    dealt = met.select("component", "lo", "hi", "block", "id", "keys").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "block", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def ngram_jaccard_links(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, membership). links(a, b): every two classes of equal sets that link, by their smallest ids, a < b.
+
+    membership: (id, n_shingles, component_id, class_id, n_links) of every document; n_links counts the other documents
+    that it links with, those of its own class and of all linked classes. Null ids and empty sets have none.
+    """
+    out, docs, classes = _members(df, n, percent, id_col, text_col)
+    out = shared.saved(out)
+    of_class = out.where("n_shingles > 0 and id is not null").groupBy("rep", "component").agg(F.countDistinct("id").alias("size"))
+    of_class = shared.saved(of_class)
+    links = shared.saved(links_inside(docs, of_class.select(F.col("rep").alias("id"), "component").distinct(), n, percent, classes))
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = both.join(of_class.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("more"))
+    sizes = of_class.select("rep", "size").join(more, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    out = out.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("rep"))).join(sizes, "rep", "left")
+    return links, out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document; links have 100 * intersection >= percent * union."""
+    out, _, _ = _members(df, n, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+
+
+def _members(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(id, n_shingles, rep, component) of every document, the documents, and the classes of the global order."""
     spark = df.sparkSession
     shared.short_batches(spark)
     docs = _slim(df, id_col, text_col)
@@ -317,4 +383,4 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str
     final = components(links.unionAll(alike))
     out = own.join(copies.drop("copies"), ["d1", "d2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = out.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    return out.select("id", "n_shingles", "rep", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component")), docs, classes
