@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from vocarium.llm import decontam, fastbpe, lm, ngram_join, ogg, pii, quality, token_count, token_output, wordhash
+from vocarium.llm import decontam, fastbpe, lm, ngram_join, ogg, pii, prefix_tree, quality, token_count, token_output, wordhash
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ALPHABET = list("abz  \n\t'''srtevlmd09.,!<|é ß漢字١² ​　\xa0😀AZ_-\x00\x7f")
@@ -84,12 +84,26 @@ def test_prefix_tree_against_brute_force():
     sets = []
     for k in range(90):
         s = set(base[k % 3]) - set(rng.sample(base[k % 3], rng.randint(0, 4))) | set(rng.sample(range(1, 400), rng.randint(0, 3)))
-        sets.append((k, np.array(sorted(s), np.uint64)))
-    tree = ngram_join.PrefixTree(sets)
+        sets.append(np.array(sorted(s), np.uint64))
+    sets += [sets[0], sets[0][:12], sets[0][:3]]
+    order = np.unique(np.concatenate(sets))
+    rng.shuffle(order)
+    tree = prefix_tree.PrefixTree(sets, order)
+    probes = [*sets[:40], np.append(sets[0], np.uint64(9999)), np.array([5000], np.uint64)]
     for p in (80, 85):
-        for _, probe in sets[:40]:
-            want = {i for i, s in sets if 100 * len(np.intersect1d(probe, s)) >= p * len(np.union1d(probe, s))}
-            assert {i for i, _ in tree.search(probe, p)} == want
+        got = {(k, int(j)) for k, found in tree.search(probes, p) for j in found}
+        assert got == {(k, j) for k, s in enumerate(sets) for j, q in enumerate(probes) if 100 * len(np.intersect1d(q, s)) >= p * len(np.union1d(q, s))}
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for n, m in ((3, 4), (700, 650), (9000, 300), (40_000, 39_000)):
+        a = rng.integers(0, 1 << 62, n, np.int64).view(np.uint64)
+        b = np.unique(np.concatenate((a[: m // 2], rng.integers(0, 1 << 62, m - m // 2, np.int64).view(np.uint64))))
+        a = np.unique(a)
+        one, two = ngram_join.signature(a), ngram_join.signature(b)
+        assert ngram_join.differing(one, two) <= len(np.setxor1d(a, b))
+        assert ngram_join.differing(one, one) == 0
 
 
 def test_wu_manber_against_brute_force():

@@ -253,7 +253,8 @@ def test_components_that_are_not_done_are_an_error(spark):
 
 
 def test_every_link_inside_a_group(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TREE_SETS", 8)  # several blocks in the large group
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 8)  # several tiles in the large group
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)  # several blocks of one n-gram
     rng = random.Random(3)
     base, rows = [f"w{k}" for k in range(120)], []
     for k in range(60):
@@ -276,3 +277,28 @@ def test_every_link_inside_a_group(spark, monkeypatch):
     assert len(by) == len(rows) and by[None]["n_links"] == 0 == by[81]["n_links"] and by[None]["component_id"] is None
     assert all(by[k]["n_links"] == sum(k != j and bool(linked(k, j)) for j in s) for k in s)
     assert all(by[k]["class_id"] == (low[frozenset(s[k])] if s[k] else None) for k in s)
+
+
+@pytest.mark.parametrize(("block", "salt"), [(3, 1 << 16), (2, 4)])
+def test_hot_tokens_join_across_blocks(spark, monkeypatch, block, salt):
+    """Documents of one passage and a few words of their own: all share n-grams, only some link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", salt)
+    rng, rows = random.Random(11), []
+    passage = [f"p{k}" for k in range(40)]
+    for g in range(12):
+        own = [f"g{g}_{k}" for k in range(rng.randint(2, 14))]
+        for _ in range(rng.randint(1, 5)):
+            t = passage + own
+            if rng.random() < 0.5:
+                t[rng.randrange(len(t))] = f"z{len(rows)}"
+            rows.append((len(rows), " ".join(t)))
+    s = {k: sets(t, 4) for k, t in rows}
+    links = {(a, b) for a in s for b in s if a != b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])}
+    least = {k: k for k in s}
+    for _ in s:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert 3 < len(set(least.values())) < len(s) - 5
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in out.collect()} == {(k, least[k], sum(a == k for a, _ in links)) for k in s}

@@ -14,8 +14,7 @@ VOCABULARY = "byte_bpe_50k.json"
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
-    _, members = ngram_join.ngram_jaccard_links(shared.documents(spark, sf_dir), n=4, percent=85)
-    return members.drop("class_id")
+    return ngram_join.ngram_jaccard_join(shared.documents(spark, sf_dir), n=4, percent=85).drop("class_id")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
