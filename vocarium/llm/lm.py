@@ -9,10 +9,10 @@ its ids and the end.
 Contexts are windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``; each id is scored once, in the window
 where it has most context. Windows of many documents go through in batches under one causal mask.
 
-The weights are fitted on every id of every training document: in each of ``EPOCHS`` rounds all tasks start from
-the same weights, go through their documents, and the mean by number of ids starts the next round. Classes and
-counts of words, ids and pairs are over every training document too. Ids are written once, two bytes each. The
-base score is the add-one word model: the commonest words' counts go to all workers (a fixed number), the
+The weights are fitted on every id of every training document, once: in each of ``ROUNDS`` rounds all tasks start
+from the same weights, go through their share of the documents, and the mean by number of ids starts the next
+round. Classes and counts of words, ids and pairs are over every training document too. Texts are encoded once;
+their ids are written, two bytes each, for training and for scoring. The base score is the add-one word model: the commonest words' counts go to all workers (a fixed number), the
 others meet by a join of (document, word) rows.
 
 Null and empty texts are an end token alone. A null id counts as the text ''. Repeated rows are scored
@@ -37,7 +37,10 @@ from .wordhash import BLANK_WORDS, LOWER, word_hashes
 WINDOW, STRIDE, WIDTH, CLASSES = 48, 40, 16, 64
 #: Ids with a symbol of their own as context, and as what follows; the others go by class.
 SYMBOLS, NEXT = 512, 4096
-EPOCHS = 2
+#: Rounds: each takes its share of every task's documents, so that all are learned from once.
+ROUNDS = 2
+#: Windows in a step of training.
+LEAST_WINDOWS, MOST_WINDOWS = 8, 64
 #: Ranks of the id before that classes are told by; all rarer ids count as one.
 BEFORE = 256
 #: Groups in which tasks' weights are added before they reach the driver.
@@ -149,9 +152,10 @@ class Symbols:
 def row_sums(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(size, width): rows added up by their place."""
     out = np.zeros((size, rows.shape[1]), rows.dtype)
-    order = np.argsort(at, kind="stable")
-    places, start = np.unique(at[order], return_index=True)
-    out[places] = np.add.reduceat(rows[order], start, axis=0)
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out[at[start]] = np.add.reduceat(rows[order], start, axis=0)
     return out
 
 
@@ -165,11 +169,20 @@ class Adam:
 
     def update(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
-        now = rate * min(1, self.step / 50)
+        now, one, two = rate * min(1, self.step / 50), 1 - 0.9**self.step, 1 - 0.99**self.step
         for n, v in g.items():
-            self.m[n] += 0.1 * (v - self.m[n])
-            self.s2[n] += 0.01 * (v * v - self.s2[n])
-            p[n] -= (now * (0.3 if n == "B" else 1)) * (self.m[n] / (1 - 0.9**self.step)) / (np.sqrt(self.s2[n] / (1 - 0.99**self.step)) + 1e-8)
+            m, s2 = self.m[n], self.s2[n]
+            m *= 0.9
+            m += 0.1 * v
+            v *= v
+            v *= 0.01
+            s2 *= 0.99
+            s2 += v
+            np.sqrt(s2, out=v)
+            v += 1e-8
+            np.divide(m, v, out=v)
+            v *= now * (0.3 if n == "B" else 1) * two**0.5 / one
+            p[n] -= v
 
 
 class Attention:
@@ -198,25 +211,25 @@ class Attention:
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
     def forward(self, x: np.ndarray) -> tuple:
-        p, t = self.p, x.shape[1]
-        h0 = p["E"][x] + p["P"][:t]
-        qkv = h0 @ p["QKV"]
-        q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        a *= np.float32(WIDTH**-0.5)
+        p, (n, t), d = self.p, x.shape, WIDTH
+        h0 = (p["E"][x] + p["P"][:t]).reshape(-1, d)
+        qkv = (h0 @ p["QKV"]).reshape(n, t, 3 * d)
+        q, k, v = (np.ascontiguousarray(qkv[..., i * d : (i + 1) * d]) for i in range(3))
+        a = q @ k.transpose(0, 2, 1)
+        a *= d**-0.5
         a += self.mask[:t, :t]
         a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
-        o = a @ v
+        o = (a @ v).reshape(-1, d)
         h1 = h0 + o @ p["O"]
         r = h1 @ p["W1"]
         np.maximum(r, 0, out=r)
         h2 = h1 + r @ p["W2"]
         z = h2 @ p["out"]
-        z += p["B"][x]
+        z += p["B"][x.ravel()]
         z -= z.max(-1, keepdims=True)
-        return z, (h0, q, k, v, a, o, h1, r, h2)
+        return z.reshape(n, t, -1), (h0, q, k, v, a, o, h1, r, h2)
 
     def classes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log P(class y | context) for a batch of windows; normalisers come out of the products."""
@@ -241,13 +254,17 @@ class Attention:
         e = fast_exp(z)
         return np.log(e[np.arange(len(e)), y.ravel()] / (e @ np.ones(CLASSES, np.float32))).reshape(x.shape)
 
-    def train(self, sample: list[np.ndarray], epochs: int = EPOCHS, seed: int = 9, batch: int = 16) -> None:
+    def train(self, sample: list[np.ndarray], epochs: int = 1, seed: int = 9) -> None:
         """Rounds over documents that one process holds."""
-        for epoch in range(epochs if sample else 0):
-            self.learn(np.concatenate(sample), np.array([len(s) for s in sample]), Adam(self.p), pace(epoch, epochs), np.random.default_rng((seed, epoch)), batch)
+        for part in range(ROUNDS * epochs):
+            if mine := sample[part % ROUNDS :: ROUNDS]:
+                self.learn(np.concatenate(mine), np.array([len(s) for s in mine]), Adam(self.p), pace(part, ROUNDS * epochs), np.random.default_rng((seed, part)))
+
+    def learn(self, ids: np.ndarray, per: np.ndarray, adam: Adam, rate: float, rng: np.random.Generator) -> None:
+        """One pass over all windows of whole documents, in random order; ids (ends included) lie one document after the other.
 
-    def learn(self, ids: np.ndarray, per: np.ndarray, adam: Adam, rate: float, rng: np.random.Generator, batch: int = 16) -> None:
-        """One pass over all windows of whole documents, in random order; ids (ends included) lie one document after the other."""
+        A step takes LEAST_WINDOWS windows at first and one more every fourth step, up to MOST_WINDOWS.
+        """
         first = np.cumsum(per) - per
         x_of, y_of = self.symbols.symbol[ids_before(ids, first)].astype(np.int16), self.symbols.cls[ids].astype(np.int16)
         n_win = -(-per // WINDOW)
@@ -255,40 +272,47 @@ class Attention:
         size = np.minimum(WINDOW, np.repeat(per, n_win) - start)
         start += np.repeat(first, n_win)
         order = rng.permutation(len(start))
-        for lo in range(0, len(order), batch):
-            w = order[lo : lo + batch]
+        lo = 0
+        while lo < len(order):
+            w = order[lo : lo + min(MOST_WINDOWS, LEAST_WINDOWS + adam.step // 4)]
+            lo += len(w)
             inside = np.arange(WINDOW) < size[w][:, None]
             at = np.minimum(start[w][:, None] + np.arange(WINDOW), len(ids) - 1)
             adam.update(self.p, self.gradients(np.where(inside, x_of[at], 0), np.where(inside, y_of[at], -1)), rate)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, d = self.p, WIDTH
+        p, d, t = self.p, WIDTH, x.shape[1]
         z, (h0, q, k, v, a, o, h1, r, h2) = self.forward(x)
+        z = z.reshape(len(h0), -1)
+        flat_y = y.ravel()
+        real = np.flatnonzero(flat_y >= 0)
         np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
-        real = y >= 0
-        n = max(1, int(real.sum()))
-        i, j = np.nonzero(real)
-        z[i, j, y[i, j]] -= 1
-        z *= (real / n)[..., None].astype(np.float32)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(h2).T @ flat(z), "B": row_sums(len(p["B"]), x.ravel(), flat(z))}
+        z *= ((flat_y >= 0) / max(1, len(real)) / z.sum(-1)).astype(z.dtype)[:, None]
+        z[real, flat_y[real]] -= 1 / max(1, len(real))
+        where = x.ravel()
+        g = {"out": h2.T @ z, "B": row_sums(len(p["B"]), where, z)}
         dh = z @ p["out"].T
-        g["W2"] = flat(r).T @ flat(dh)
-        dr = (dh @ p["W2"].T) * (r > 0)
-        g["W1"] = flat(h1).T @ flat(dr)
-        dh = dh + dr @ p["W1"].T
-        g["O"] = flat(o).T @ flat(dh)
-        do = dh @ p["O"].T
+        g["W2"] = r.T @ dh
+        dr = dh @ p["W2"].T
+        dr *= r > 0
+        g["W1"] = h1.T @ dr
+        dh += dr @ p["W1"].T
+        g["O"] = o.T @ dh
+        do = (dh @ p["O"].T).reshape(*x.shape, d)
         da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        da = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(d**-0.5)
-        dqkv = np.concatenate((da @ k, da.transpose(0, 2, 1) @ q, dv), -1)
-        g["QKV"] = flat(h0).T @ flat(dqkv)
-        dh = dh + dqkv @ p["QKV"].T
+        dqkv = np.empty((*x.shape, 3 * d), z.dtype)
+        dqkv[..., 2 * d :] = a.transpose(0, 2, 1) @ do
+        da -= (do.reshape(-1, d) * o).sum(-1).reshape(*x.shape, 1)
+        da *= a
+        da *= d**-0.5
+        dqkv[..., :d] = da @ k
+        dqkv[..., d : 2 * d] = da.transpose(0, 2, 1) @ q
+        dqkv = dqkv.reshape(-1, 3 * d)
+        g["QKV"] = h0.T @ dqkv
+        dh += dqkv @ p["QKV"].T
         g["P"] = np.zeros_like(p["P"])
-        g["P"][: x.shape[1]] = dh.sum(0)
-        g["E"] = row_sums(len(p["E"]), x.ravel(), flat(dh))
+        g["P"][:t] = dh.reshape(*x.shape, d).sum(0)
+        g["E"] = row_sums(len(p["E"]), where, dh)
         return g
 
     def score(self, ids: np.ndarray, per: np.ndarray, batch: int = 48) -> np.ndarray:
@@ -324,9 +348,9 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key, np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-def pace(epoch: int, epochs: int, rate: float = 1e-2) -> float:
+def pace(part: int, parts: int, rate: float = 1e-2) -> float:
     """The learning rate of a round, falling from one to the next."""
-    return rate * (1 - 0.9 * (epoch + 0.5) / epochs)
+    return rate * (1 - 0.9 * (part + 0.5) / parts)
 
 
 def _count_rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -363,29 +387,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _added(docs.mapInArrow(run, "key long, n long"))
 
 
+def id_bytes(coder: fastbpe.BatchEncoder, texts: list[str]) -> list[bytes]:
+    """The subword ids of each lower-cased text, whole and with the end, two bytes each."""
+    out = []
+    for lo, hi in fastbpe.chunked(texts):
+        ids, per = with_ends(*coder.encode(texts[lo:hi]))
+        data, upto = ids.astype("<u2").tobytes(), np.cumsum(per) * 2
+        out += [data[z - 2 * n : z] for z, n in zip(upto.tolist(), per.tolist(), strict=True)]
+    return out
+
+
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(ids): the subword ids of every one of docs(text), whole and with the end, two bytes each."""
+    """(ids) of every one of docs(text), to fit a model on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = fastbpe.encoder(tokenizer)
         for b in batches:
-            texts = lower_texts(shared.plain(b.column(0)))
-            for lo, hi in fastbpe.chunked(texts):
-                ids, per = with_ends(*coder.encode(texts[lo:hi]))
-                data, upto = ids.astype("<u2").tobytes(), np.cumsum(per) * 2
-                yield pa.RecordBatch.from_arrays([pa.array([data[z - 2 * n : z] for z, n in zip(upto.tolist(), per.tolist(), strict=True)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_bytes(coder, lower_texts(shared.plain(b.column(0)))), pa.binary())], ["ids"])
 
     return docs.mapInArrow(run, "ids binary")
 
 
-def _ids(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, length of each document) of the rows of ``encoded``, in runs of whole documents."""
+def _ids(batches: Iterable[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, length of each document) of rows whose first column is ids, in runs of whole documents."""
     for b in batches:
         rows, size = [], 0
         for x in b.column(0):
             rows.append(np.frombuffer(x.as_buffer(), "<u2"))
             size += len(rows[-1])
-            if size > 1_000_000:
+            if size > limit:
                 yield np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
                 rows, size = [], 0
         if rows:
@@ -398,8 +428,7 @@ def id_counts(table: DataFrame, size: int, keys_of: Callable[[np.ndarray, np.nda
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int32)
         for ids, per in _ids(batches):
-            key, n = np.unique(keys_of(ids, np.cumsum(per) - per), return_counts=True)
-            total[key] += n.astype(np.int32)
+            np.add.at(total, keys_of(ids, np.cumsum(per) - per), 1)
         used = np.flatnonzero(total)
         yield from _count_rows(used, total[used])
 
@@ -413,7 +442,7 @@ def _filled(got: pa.Table, size: int) -> np.ndarray:
 
 
 def train_everywhere(model: Attention, table: DataFrame) -> int:
-    """Fit the weights on all documents of table(ids); the number of ids that one round learns from.
+    """Fit the weights on all documents of table(ids), each in one of the rounds; the number of ids learned from.
 
     Every task's weights, times its number of ids, are added up in SUMS groups; the driver gets those sums only.
     """
@@ -430,16 +459,19 @@ def train_everywhere(model: Attention, table: DataFrame) -> int:
             yield pa.RecordBatch.from_pydict({"task": pa.array([0], pa.int32()), "n": pa.array([ids], pa.int64()), "p": pa.array([total.tobytes()], pa.binary())})
 
     schema = "task int, n long, p binary"
-    for epoch in range(EPOCHS):
+    for part in range(ROUNDS):
         sent = table.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent, epoch=epoch) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], sent=sent, part=part) -> Iterator[pa.RecordBatch]:
             task, net = TaskContext.get().partitionId(), copy.copy(sent.value)
             net.p = {k: v.copy() for k, v in net.p.items()}
-            adam, rng, n = Adam(net.p), np.random.default_rng((9, epoch, task)), 0
-            for ids, per in _ids(batches):
-                net.learn(ids, per, adam, pace(epoch, EPOCHS), rng)
-                n += len(ids)
+            adam, rng, n, seen = Adam(net.p), np.random.default_rng((9, part, task)), 0, part
+            for b in batches:
+                mine = np.arange((-seen) % ROUNDS, b.num_rows, ROUNDS)
+                seen += b.num_rows
+                for ids, per in _ids([b.take(pa.array(mine))]):
+                    net.learn(ids, per, adam, pace(part, ROUNDS), rng)
+                    n += len(ids)
             if n:
                 p = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64) * n
                 yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "n": pa.array([n], pa.int64()), "p": pa.array([p.tobytes()], pa.binary())})
@@ -447,9 +479,10 @@ def train_everywhere(model: Attention, table: DataFrame) -> int:
         parts = table.mapInArrow(run, schema).repartition(SUMS, F.col("task") % SUMS).sortWithinPartitions("task").mapInArrow(add, schema)
         rows = parts.collect()
         if not rows:
-            return 0
-        learned = sum(r["n"] for r in rows)
-        mean = np.sum([np.frombuffer(r["p"], np.float64) for r in rows], axis=0) / learned
+            continue
+        ids = sum(r["n"] for r in rows)
+        learned += ids
+        mean = np.sum([np.frombuffer(r["p"], np.float64) for r in rows], axis=0) / ids
         lo = 0
         for k in names:
             v = model.p[k]
@@ -464,8 +497,12 @@ def lm_scores(df: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, id_c
     shared.short_batches(spark)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     docs = docs.withColumn("held_out", fold(F.coalesce(docs["id"].cast("string"), F.lit("")), folds) == held)
-    learn = docs.where(~F.col("held_out"))
-    table = shared.saved(encoded(learn.select("text"), tokenizer))
+    words = shared.saved(word_counts(docs.where(~F.col("held_out")).select("text")))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = shared.saved(_based(docs, words, distinct, tokenizer))
+    main = rows.where("key is null").drop("key", "times")
+    table = main.where(~F.col("held_out")).select("ids")
+
     sub = _filled(id_counts(table, VOCABULARY_SIZE, lambda ids, first: ids), VOCABULARY_SIZE)
     rank = ranks(sub)
     seen = id_counts(table, BEFORE * VOCABULARY_SIZE, lambda ids, first: contexts(ids, first, rank))
@@ -474,20 +511,37 @@ def lm_scores(df: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, id_c
     model = Attention(symbols, sub, _filled(id_counts(table, cells, lambda ids, first: known.value.pairs(ids, first)), cells))
     train_everywhere(model, table)
 
-    words = shared.saved(word_counts(learn.select("text")))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    sent = spark.sparkContext.broadcast(model)
+    names = [c for c in main.columns if c != "ids"]
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sent.value.score(ids, per) for ids, per in _ids([b], 200_000)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.concatenate(got) if got else np.zeros(0))], [*names, "score"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    main = main.select("ids", *names).mapInArrow(score, f"rid long, id {kind}, held_out boolean, n_tokens long, n_known long, known_log double, score double")
+    if distinct > HOT_WORDS:
+        rare = rows.where("key is not null").select("rid", "key", "times").join(words.select("key", "n"), "key")
+        rare = rare.groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_log"))
+        main = main.join(rare, "rid", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "known_log": F.col("known_log") + F.coalesce("more_log", F.lit(0.0))})
+    unit = float(np.log10(total + distinct + 1.0))
+    return main.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("known_log") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score")
+
+
+def _based(docs: DataFrame, words: DataFrame, distinct: int, tokenizer: str) -> DataFrame:
+    """What a text is read for: a row (rid, id, held_out, n_tokens, n_known, known_log, ids) of every document, its
+    sums over hot words, and rows (rid, key, times) of its other words."""
     hot = words.select("key", "n").orderBy(F.desc("n"), "key").limit(HOT_WORDS).toArrow()
     hot_key = hot["key"].to_numpy().view(np.uint64)
     by_key = np.argsort(hot_key)
-    hot_key, hot_n = hot_key[by_key], hot["n"].to_numpy()[by_key]
+    sent = docs.sparkSession.sparkContext.broadcast((hot_key[by_key], np.log10(hot["n"].to_numpy()[by_key] + 1.0)))
     complete = distinct <= HOT_WORDS
-
-    sent = spark.sparkContext.broadcast((model, hot_key, np.log10(hot_n + 1.0)))
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["rid", "id", "held_out", "n_tokens", "n_known", "known_log", "score", "key", "times"]
+    names = ["rid", "id", "held_out", "n_tokens", "n_known", "known_log", "ids", "key", "times"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, keys, logs = sent.value
+        keys, logs = sent.value
         coder = fastbpe.encoder(tokenizer)
         rid = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -504,25 +558,18 @@ def lm_scores(df: DataFrame, tokenizer: str, folds: int = 7, held: int = 2, id_c
                 n_known.append(np.bincount(whose[hit], minlength=n))
                 known.append(np.bincount(whose[hit], weights=logs[at[hit]], minlength=n))
                 if not complete and not hit.all():
-                    rest = np.rec.fromarrays((whose[~hit], h[~hit]))
-                    uniq, times = np.unique(rest, return_counts=True)
-                    none = pa.nulls(len(uniq))
+                    doc, word = whose[~hit], h[~hit]
+                    order = np.lexsort((word, doc))
+                    doc, word = doc[order], word[order]
+                    start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])))
+                    none = pa.nulls(len(start))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid + lo + uniq["f0"], pa.int64()), none.cast(b.column(0).type), none.cast(pa.bool_()), *(none.cast(k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(uniq["f1"].view(np.int64)), pa.array(times, pa.int64())],
+                        [pa.array(rid + lo + doc[start], pa.int64()), none.cast(b.column(0).type), none.cast(pa.bool_()), *(none.cast(k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.binary())), pa.array(word[start].view(np.int64)), pa.array(np.diff(np.append(start, len(doc))), pa.int64())],
                         names,
                     )
-            texts = lower_texts(arr)
-            score = [net.score(*with_ends(*coder.encode(texts[lo:hi]))) for lo, hi in fastbpe.chunked(texts, 200_000)]
             none = pa.nulls(len(arr), pa.int64())
             cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(arr)), pa.int64()), b.column(0), b.column(2), pa.array(cat(n_tokens), pa.int64()), pa.array(cat(n_known), pa.int64()), pa.array(cat(known), pa.float64()), pa.array(cat(score), pa.float64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(arr)), pa.int64()), b.column(0), b.column(2), pa.array(cat(n_tokens), pa.int64()), pa.array(cat(n_known), pa.int64()), pa.array(cat(known), pa.float64()), pa.array(id_bytes(coder, lower_texts(arr)), pa.binary()), none, none], names)
             rid += len(arr)
 
-    rows = shared.saved(docs.select("id", "text", "held_out").mapInArrow(run, f"rid long, id {kind}, held_out boolean, n_tokens long, n_known long, known_log double, score double, key long, times long"))
-    main = rows.where("key is null").drop("key", "times")
-    if not complete:
-        rare = rows.where("key is not null").select("rid", "key", "times").join(words.select("key", "n"), "key")
-        rare = rare.groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_log"))
-        main = main.join(rare, "rid", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "known_log": F.col("known_log") + F.coalesce("more_log", F.lit(0.0))})
-    unit = float(np.log10(total + distinct + 1.0))
-    return main.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("known_log") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score")
+    return docs.select("id", "text", "held_out").mapInArrow(run, f"rid long, id {kind}, held_out boolean, n_tokens long, n_known long, known_log double, ids binary, key long, times long")
