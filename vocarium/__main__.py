@@ -8,6 +8,7 @@ import sys
 from .config import Config
 from .functions.render import table
 from .session import session
+from .sources.kept import kept
 
 
 def _docs(spark, args):
@@ -128,7 +129,7 @@ def subspaces(spark, args):
     from .plans.build import Stages, tokens_of
 
     config = _config(args)
-    stages = Stages(tokens_of(_docs(spark, args), config).persist())
+    stages = Stages(kept(tokens_of(_docs(spark, args), config)))
     print(table(("slice", "mean", "aligned", "least"), [(o.label, o.mean, o.aligned, o.least) for o in lab.compare_subspaces(stages.space(config), stages.space(config.with_(factoriser="krylov")))]))
 
 

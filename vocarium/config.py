@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, replace
 
 @dataclass(frozen=True)
 class Config:
+    """The defaults."""
+
     lowercase: bool = True
     fold_accents: bool = True
     split_clitics: bool = False
@@ -37,11 +39,19 @@ class Config:
 
     def key(self, stage: str) -> str:
         """What a stage's result depends on: its own settings and those of the stages before it."""
-        upto = {"tokens": 3, "vocab": 5, "counts": 8, "weighted": 11, "factors": 17, "space": 20}[stage]
-        names = list(asdict(self))
-        first = names[:upto] + (["seed"] if upto >= 17 else [])
-        return json.dumps([(n, getattr(self, n)) for n in first])
+        names = [n for s in list(SETTINGS)[: list(SETTINGS).index(stage) + 1] for n in SETTINGS[s]]
+        return json.dumps([(n, getattr(self, n)) for n in names])
+
 
+#: The settings that each stage reads, in the order of the stages.
+SETTINGS = {
+    "tokens": ("lowercase", "fold_accents", "split_clitics"),
+    "vocab": ("vocab_size", "min_count"),
+    "counts": ("window", "harmonic", "min_pair_weight"),
+    "weighted": ("weighting", "alpha", "shift"),
+    "factors": ("dim", "factoriser", "krylov_block", "krylov_depth", "oversample", "power_iterations", "seed"),
+    "space": ("eigenvalue_power", "shrinkage"),
+}
 
-#: The yardstick for held-out truth; it must not follow Config.
+#: The yardstick for held-out truth; it must not follow Config.
 RULER = {"window": 4, "harmonic": True, "min_pair_weight": 1.0, "alpha": 0.75, "shift": 1.0}

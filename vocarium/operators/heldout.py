@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.stats import spearman
 from . import sparse_space
 
 
@@ -56,6 +56,24 @@ def predicted(space: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def correlation(space: DataFrame, actual: DataFrame) -> tuple[float, int]:
-    """Spearman of predicted and actual similarity, and how many pairs it rests on."""
-    r = spearman(predicted(space, actual), "predicted", "actual").first()
-    return float(r["rho"]), int(r["n"])
+    """Spearman of predicted and actual similarity, and how many pairs it rests on.
+
+    The pairs are a sample that the driver drew (``sample_pairs``), so it can hold their two numbers.
+    """
+    both = predicted(space, actual).select("predicted", "actual").toArrow()
+    return rank_correlation(both["predicted"].to_numpy(), both["actual"].to_numpy()), both.num_rows
+
+
+def rank_correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """Pearson of average ranks; 0 for fewer than two pairs or a constant side."""
+
+    def centred(v: np.ndarray) -> np.ndarray:
+        _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+        r = (np.cumsum(n) - (n - 1) / 2.0)[at]
+        return r - r.mean()
+
+    if len(x) < 2:
+        return 0.0
+    a, b = centred(x), centred(y)
+    scale = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+    return float((a * b).sum() / scale) if scale else 0.0

@@ -14,6 +14,7 @@ from ..config import Config
 from ..functions import text
 from ..operators import counts, linalg, vocab, weight
 from ..operators.space import Space
+from ..sources.kept import kept
 
 
 @dataclass
@@ -40,7 +41,7 @@ class Stages:
         self.memo: dict[tuple[str, str], object] = {}
 
     def _once(self, stage: str, config: Config, make):
-        key = (stage, config.key(stage))
+        key = (stage, config.key("vocab" if stage == "ids" else stage))
         if key not in self.memo:
             self.memo[key] = make()
         return self.memo[key]
@@ -48,28 +49,30 @@ class Stages:
     def tokens(self, config: Config) -> DataFrame:
         if self.given is not None:
             return self.given
-        return self._once("tokens", config, lambda: self.retokenise(config).persist())
+        return self._once("tokens", config, lambda: kept(self.retokenise(config)))
 
     def vocab(self, config: Config) -> DataFrame:
         def make():
-            v = vocab.build_vocab(self.tokens(config), config.vocab_size, config.min_count).persist()
+            v = kept(vocab.build_vocab(self.tokens(config), config.vocab_size, config.min_count))
             if v.isEmpty():
                 raise ValueError(f"no token occurs {config.min_count} times")
             return v
 
         return self._once("vocab", config, make)
 
+    def ids(self, config: Config) -> DataFrame:
+        return self._once("ids", config, lambda: kept(vocab.encode(self.tokens(config), self.vocab(config))))
+
     def counts(self, config: Config) -> DataFrame:
         def make():
-            ids = vocab.encode(self.tokens(config), self.vocab(config))
-            return counts.cooccurrence(ids, config.window, config.harmonic, config.min_pair_weight).persist()
+            return kept(counts.cooccurrence(self.ids(config), config.window, config.harmonic, config.min_pair_weight))
 
         return self._once("counts", config, make)
 
     def weighted(self, config: Config) -> DataFrame:
         if config.weighting not in weight.WEIGHTINGS:
             raise ValueError(f"unknown weighting {config.weighting!r}; one of {', '.join(weight.WEIGHTINGS)}")
-        return self._once("weighted", config, lambda: weight.WEIGHTINGS[config.weighting](self.counts(config), alpha=config.alpha, shift=config.shift).persist())
+        return self._once("weighted", config, lambda: kept(weight.WEIGHTINGS[config.weighting](self.counts(config), alpha=config.alpha, shift=config.shift)))
 
     def factors(self, config: Config) -> tuple[np.ndarray, np.ndarray]:
         def make():
@@ -92,13 +95,9 @@ class Stages:
         words = [r["word"] for r in self.vocab(config).orderBy("id").collect()]
         # stored eigenvalues are rounded, and later rescaling works from the rounded ones
         meta = config.as_dict() | {"sources": sources or [], "eigenvalues": [round(float(x), 4) for x in values]}
-        return Space.of(self.vocab(config).sparkSession, words, scaled, meta)
-
-    def close(self) -> None:
-        for x in self.memo.values():
-            if isinstance(x, DataFrame):
-                x.unpersist()
-        self.memo.clear()
+        space = Space.of(self.vocab(config).sparkSession, words, scaled, meta)
+        space.table = kept(space.table)
+        return space
 
 
 def tokens_of(docs: DataFrame, config: Config, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +107,7 @@ def tokens_of(docs: DataFrame, config: Config, doc_col: str = "doc_id", text_col
 def build(docs: DataFrame, config: Config | None = None, doc_col: str = "doc_id", text_col: str = "text", sources: list[str] | None = None) -> tuple[Space, Report]:
     """A space of the documents, and a report of the stages."""
     config = config or Config()
-    report, stages = Report(), Stages(tokens_of(docs, config, doc_col, text_col).persist())
+    report, stages = Report(), Stages(kept(tokens_of(docs, config, doc_col, text_col)))
 
     def timed(name: str, make, detail):
         began = time.time()
@@ -123,6 +122,4 @@ def build(docs: DataFrame, config: Config | None = None, doc_col: str = "doc_id"
     timed("factorise", lambda: stages.factors(config), lambda f: f"{len(f[0])} dimensions, {config.factoriser}")
     space = stages.space(config, sources)
     space.meta["tokens"] = total
-    space.table = space.table.persist()
-    stages.close()
     return space, report

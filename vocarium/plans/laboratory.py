@@ -14,17 +14,23 @@ from ..config import RULER, Config
 from ..functions.stats import mcnemar
 from ..operators import benchmark, counts, heldout, linalg, sparse_space, vocab, weight
 from ..operators.space import Space, top_answers
+from ..sources.kept import kept
 from .build import Stages, tokens_of
 
+#: Sweeps, slices, the audit's settings, tokenisations and rulers.
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 HELDOUT_POWERS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5)
 DIMENSIONS = (16, 32, 48, 64, 96, 128, 160)
 SLICES = (("all 64", 0, 64), ("top 16", 0, 16), ("mid 16", 24, 40), ("tail 16", 48, 64))
-#: Settings that are audited, one at a time.
 GRID = {
-    "window": (2, 4, 6, 10), "harmonic": (True, False), "alpha": (0.5, 0.75, 1.0), "shift": (1.0, 2.0, 5.0),
-    "min_pair_weight": (0.0, 1.0, 2.0), "eigenvalue_power": (0.5, 0.75, 1.0, 1.25),
-}
+    "window": (2, 4, 6, 10),
+    "harmonic": (False, True),
+    "weighting": ("raw", "log", "pmi", "ppmi"),
+    "alpha": (0.5, 0.75, 1.0),
+    "shift": (1.0, 2.0, 5.0),
+    "min_pair_weight": (0.0, 1.0, 2.0),
+    "eigenvalue_power": (0.5, 0.75, 1.0, 1.25),
+}
 TOKENISATIONS = (("default", {}), ("case kept", {"lowercase": False}), ("accents kept", {"fold_accents": False}), ("clitics split", {"split_clitics": True}))
 RULERS = (("frozen a=0.75", {}), ("a=1.0", {"alpha": 1.0}), ("a=0.5", {"alpha": 0.5}), ("window 2", {"window": 2}))
 
@@ -35,7 +41,7 @@ RULERS = (("frozen a=0.75", {}), ("a=1.0", {"alpha": 1.0}), ("a=0.5", {"alpha":
 def evaluate(space: Space, methods: Sequence[str] = benchmark.METHODS, limit: int = benchmark.LIMIT, seed: int = benchmark.SEED, metric: str = "cosine") -> DataFrame:
     """(method, category, asked, top1, top5, form), with category ALL: one scan of the space a method."""
     spark = space.table.sparkSession
-    bench = benchmark.build_benchmark(space.table, benchmark.rules_table(spark)).persist()
+    bench = kept(benchmark.build_benchmark(space.table, benchmark.rules_table(spark)))
     asked = benchmark.questions(bench, limit, seed)
     parts = [benchmark.outcomes(asked, top_answers(space.table, asked, method=m, metric=metric), bench).withColumn("method", F.lit(m)) for m in methods]
     out = parts[0]
@@ -69,14 +75,14 @@ class Comparison:
 
 def compare(space: Space, cells: DataFrame, words: DataFrame, limit: int = benchmark.LIMIT, seed: int = benchmark.SEED) -> Comparison:
     """The space against the sparse rows it came from; words(id, word) names the rows."""
-    bench = benchmark.build_benchmark(space.table, benchmark.rules_table(space.table.sparkSession)).persist()
+    bench = kept(benchmark.build_benchmark(space.table, benchmark.rules_table(space.table.sparkSession)))
     asked = benchmark.questions(bench, limit, seed)
     for w in "abc":  # questions whose first three words the sparse side knows
         asked = asked.join(words.select(F.col("word").alias(w), F.col("id").alias(f"{w}_id")), w)
-    asked = asked.persist()
+    asked = kept(asked)
     sparse = sparse_space.answers(sparse_space.normalised(cells), asked.select("qid", *[F.col(f"{w}_id").alias(w) for w in "abc"]))
-    sparse = benchmark.outcomes(asked, sparse.join(words.select("id", "word"), "id"), bench).persist()
-    dense = benchmark.outcomes(asked, top_answers(space.table, asked), bench).persist()
+    sparse = kept(benchmark.outcomes(asked, sparse.join(words.select("id", "word"), "id"), bench))
+    dense = kept(benchmark.outcomes(asked, top_answers(space.table, asked), bench))
     count = lambda d: d.agg(F.count(F.lit(1)).alias("asked"), *[F.count_if(c).alias(c) for c in ("top1", "top5", "form")]).first().asDict()
     return Comparison(count(dense), count(sparse), {r["metric"]: (r["sparse_only"], r["dense_only"]) for r in benchmark.discordance(sparse, dense).collect()})
 
@@ -158,20 +164,20 @@ def build_ruler(docs: DataFrame, base: Config | None = None, block: int = 4000,
     candidates can't compare them.
     """
     base = base or Config()
-    split = heldout.split_documents(tokens_of(docs, Config(), doc_col, text_col), block, offset).persist()
+    split = kept(heldout.split_documents(tokens_of(docs, Config(), doc_col, text_col), block, offset))
     train = split.where("half = 'train'").drop("half")
-    words = vocab.build_vocab(train, base.vocab_size, base.min_count).persist()
+    words = kept(vocab.build_vocab(train, base.vocab_size, base.min_count))
     return Ruler(Stages(train), words, truth_pairs(split.where("half = 'test'"), words, min(pair_vocab, words.count()), pair_count, seed, attempts, overrides))
 
 
 def truth_pairs(test: DataFrame, words: DataFrame, ceiling: int, pair_count: int, seed: int, attempts: int, overrides: dict | None = None) -> DataFrame:
     r = RULER | (overrides or {})
     ids = vocab.encode(test.drop("half"), words)
-    truth = weight.ppmi(counts.cooccurrence(ids, r["window"], r["harmonic"], r["min_pair_weight"]), r["alpha"], r["shift"]).persist()
+    truth = kept(weight.ppmi(counts.cooccurrence(ids, r["window"], r["harmonic"], r["min_pair_weight"]), r["alpha"], r["shift"]))
     filled = {x["i"] for x in truth.where(F.col("i") < ceiling).select("i").distinct().collect()}
     pairs = heldout.sample_pairs(ceiling, pair_count, filled.__contains__, seed, attempts)
     table = words.sparkSession.createDataFrame(pairs, "i int, j int")
-    return heldout.truth_cosines(truth, table).persist()
+    return kept(heldout.truth_cosines(truth, table))
 
 
 def dimension_curve(ruler: Ruler, space: Space, dims: Iterable[int] = DIMENSIONS, limit: int = 60, seed: int = benchmark.SEED) -> list[tuple[int, float, dict[str, int]]]:
@@ -223,9 +229,9 @@ def audit(ruler: Ruler, grid: dict | None = None, base: Config | None = None, pr
 def audit_vocabulary(docs: DataFrame, sizes=(2000, 4000, 8000), min_counts=(5, 10, 20), base: Config | None = None, block: int = 4000, pair_vocab: int = 1200, pair_count: int = 4000, seed: int = 20260811, doc_col: str = "doc_id", text_col: str = "text") -> list[Finding]:
     """Sizes and cutoffs against the truth of the largest vocabulary, on words that all of them share at the same id."""
     base = base or Config()
-    split = heldout.split_documents(tokens_of(docs, Config(), doc_col, text_col), block).persist()
+    split = kept(heldout.split_documents(tokens_of(docs, Config(), doc_col, text_col), block))
     train = split.where("half = 'train'").drop("half")
-    reference = vocab.build_vocab(train, max(sizes), min(min_counts)).persist()
+    reference = kept(vocab.build_vocab(train, max(sizes), min(min_counts)))
     smallest = reference.where(F.col("n") >= max(min_counts)).count()
     ceiling = min(pair_vocab, smallest, *sizes)
     actual = truth_pairs(split.where("half = 'test'"), reference, ceiling, pair_count, seed, 50)
@@ -250,11 +256,11 @@ def audit_tokenisation(docs: DataFrame, variants=TOKENISATIONS, base: Config | N
     made = []
     for label, changes in variants:
         config = base.with_(**changes)
-        split = heldout.split_documents(tokens_of(docs, config, doc_col, text_col), block).persist()
+        split = kept(heldout.split_documents(tokens_of(docs, config, doc_col, text_col), block))
         stages = Stages(split.where("half = 'train'").drop("half"))
         words = stages.vocab(config)
         ids = vocab.encode(split.where("half = 'test'").drop("half"), words)
-        truth = weight.ppmi(counts.cooccurrence(ids, RULER["window"], RULER["harmonic"], RULER["min_pair_weight"]), RULER["alpha"], RULER["shift"]).persist()
+        truth = kept(weight.ppmi(counts.cooccurrence(ids, RULER["window"], RULER["harmonic"], RULER["min_pair_weight"]), RULER["alpha"], RULER["shift"]))
         made.append((label, config, stages, words, truth))
     words, truth = made[0][3], made[0][4]
     ceiling = min(pair_vocab, words.count())
@@ -269,7 +275,7 @@ def audit_tokenisation(docs: DataFrame, variants=TOKENISATIONS, base: Config | N
         able = asked.join(rows.withColumnRenamed("word", "a"), "a", "left_semi").join(rows.withColumnRenamed("word", "b"), "b", "left_semi")
         own.append(able.count())
         common = common.join(able, ["a", "b"], "left_semi")
-    common, out = common.persist(), []
+    common, out = kept(common), []
     for (label, config, stages, words, truth), n in zip(made, own, strict=True):
         w = words.select("id", "word")
         there = common.join(w.select(F.col("id").alias("i"), F.col("word").alias("a")), "a").join(w.select(F.col("id").alias("j"), F.col("word").alias("b")), "b").select("i", "j")

@@ -13,6 +13,7 @@ from .operators import benchmark, counts, heldout, linalg, sparse_space, vocab,
 from .operators.space import Space, top_answers
 from .plans import claims, laboratory
 from .plans.build import Stages, tokens_of
+from .sources.kept import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,12 +82,12 @@ def _tokens(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tokens(spark, sf_dir)
-    return vocab.encode(t, vocab.build_vocab(t, 4000, 10).persist())
+    return vocab.encode(t, kept(vocab.build_vocab(t, 4000, 10)))
 
 
 def _cells(spark: SparkSession, sf_dir: str, window: int = 4, harmonic: bool = True, least: float = 1.0, per_document: bool = False) -> DataFrame:
     # cells are bounded by the vocabulary and read several times by what follows
-    return counts.cooccurrence(_ids(spark, sf_dir), window, harmonic, least, per_document).persist()
+    return kept(counts.cooccurrence(_ids(spark, sf_dir), window, harmonic, least, per_document))
 
 
 def _int_cells(df: DataFrame) -> DataFrame:
@@ -218,8 +219,8 @@ _weighted("weight_raw", _with(*_CELLS) + "SELECT i, j, round(w, 6) AS v FROM cel
 def ppmi_top_contexts(spark, sf_dir):
     """Top ten contexts of the ten commonest words: the flagship, from text to a sparse vector query."""
     t = _tokens(spark, sf_dir)
-    v = vocab.build_vocab(t, 4000, 10).persist()
-    w = weight.ppmi(counts.cooccurrence(vocab.encode(t, v), 4, True, 1.0).persist()).where("i < 10")
+    v = kept(vocab.build_vocab(t, 4000, 10))
+    w = weight.ppmi(kept(counts.cooccurrence(vocab.encode(t, v), 4, True, 1.0))).where("i < 10")
     top = w.withColumn("rnk", F.row_number().over(Window.partitionBy("i").orderBy(F.round("v", 9).desc(), F.desc("j"))).cast("long")).where("rnk <= 10")
     names = v.select("id", "word")
     out = top.join(F.broadcast(names.select(F.col("id").alias("i"), "word")), "i").join(F.broadcast(names.select(F.col("id").alias("j"), F.col("word").alias("context"))), "j")
@@ -233,7 +234,7 @@ _UNITS = "norms AS (SELECT i, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY i)
 
 @query(_with(*_CELLS, _pmi_sql()) + "SELECT i, round(sqrt(sum(v * v)), 6) AS norm FROM weighted GROUP BY i")
 def sparse_row_norms(spark, sf_dir):
-    w = weight.ppmi(_cells(spark, sf_dir)).persist()
+    w = kept(weight.ppmi(_cells(spark, sf_dir)))
     return w.groupBy(F.col("i").cast("long").alias("i")).agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
 
 
@@ -243,8 +244,8 @@ _PAIRS = "pairs AS (SELECT a.id AS i, b.id AS j FROM vocab a JOIN vocab b ON a.i
 @query(_with(*_CELLS, _pmi_sql(), _UNITS, _PAIRS) + "SELECT p.i, p.j, round(coalesce(sum(a.v * b.v), 0), 6) AS cosine FROM pairs p LEFT JOIN units a ON a.i = p.i LEFT JOIN units b ON b.i = p.j AND b.j = a.j GROUP BY p.i, p.j")
 def sparse_cosine_pairs(spark, sf_dir):
     t = _tokens(spark, sf_dir)
-    v = vocab.build_vocab(t, 4000, 10).persist()
-    w = weight.ppmi(counts.cooccurrence(vocab.encode(t, v), 4, True, 1.0).persist()).persist()
+    v = kept(vocab.build_vocab(t, 4000, 10))
+    w = kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(t, v), 4, True, 1.0))))
     out = sparse_space.cosines(w, heldout.hashed_pairs(v, 200, 7))
     return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("cosine", 6).alias("cosine"))
 
@@ -260,7 +261,7 @@ def sparse_cosine_pairs(spark, sf_dir):
     + "SELECT qid, rnk, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rnk FROM every) WHERE rnk <= 5"
 )
 def sparse_analogy(spark, sf_dir):
-    units = sparse_space.normalised(weight.ppmi(_cells(spark, sf_dir)).persist()).persist()
+    units = kept(sparse_space.normalised(kept(weight.ppmi(_cells(spark, sf_dir)))))
     q = spark.createDataFrame([(0, 0, 1, 2), (1, 5, 6, 7), (2, 10, 11, 12)], "qid int, a int, b int, c int")
     return sparse_space.answers(units, q).select(F.col("qid").cast("int").alias("qid"), F.col("rnk").cast("long").alias("rnk"), F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
@@ -370,7 +371,7 @@ _BENCH = "bench AS (SELECT * FROM morph WHERE rule IN (SELECT rule FROM morph GR
 
 
 def _voc(spark, sf_dir) -> DataFrame:
-    return vocab.build_vocab(_tokens(spark, sf_dir), 4000, 10).persist()
+    return kept(vocab.build_vocab(_tokens(spark, sf_dir), 4000, 10))
 
 
 @query(_with(_tokens_sql(), _vocab_sql(), _RULES, _MORPH) + "SELECT category, stem, derived FROM morph")
@@ -458,11 +459,11 @@ _HELD = (
 
 
 def _held(spark, sf_dir):
-    split = heldout.split_documents(_tokens(spark, sf_dir), 100)
+    split = kept(heldout.split_documents(_tokens(spark, sf_dir), 100))
     train = split.where("half = 'train'")
-    v = vocab.build_vocab(train, 4000, 10).persist()
-    truth = weight.ppmi(counts.cooccurrence(vocab.encode(split.where("half = 'test'"), v), 4, True, 1.0).persist(), 0.75).persist()
-    return train, v, heldout.truth_cosines(truth, heldout.hashed_pairs(v, 200, 7)).persist()
+    v = kept(vocab.build_vocab(train, 4000, 10))
+    truth = kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(split.where("half = 'test'"), v), 4, True, 1.0)), 0.75))
+    return train, v, kept(heldout.truth_cosines(truth, heldout.hashed_pairs(v, 200, 7)))
 
 
 @query(_with(*_HELD) + "SELECT i, j, round(actual, 6) AS actual FROM actual")
@@ -484,8 +485,8 @@ _RANKED = "(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1)
 )
 def heldout_spearman_hash(spark, sf_dir):
     train, v, actual = _held(spark, sf_dir)
-    own = weight.ppmi(counts.cooccurrence(vocab.encode(train, v), 4, True, 1.0).persist()).persist()
-    both = sparse_space.cosines(own, actual).select(F.round("actual", 9).alias("actual"), F.round("cosine", 9).alias("predicted")).persist()
+    own = kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(train, v), 4, True, 1.0))))
+    both = kept(sparse_space.cosines(own, actual).select(F.round("actual", 9).alias("actual"), F.round("cosine", 9).alias("predicted")))
     return stats.spearman(both, "predicted", "actual").select(F.round("rho", 6).alias("rho"), "n")
 
 
@@ -581,7 +582,7 @@ BLOCK = 200
 
 
 def _stages(spark, sf_dir) -> Stages:
-    return Stages(tokens_of(_table(spark, sf_dir, "documents"), WHOLE).persist())
+    return Stages(kept(tokens_of(_table(spark, sf_dir, "documents"), WHOLE)))
 
 
 def _eigen(spark, values) -> DataFrame:
@@ -618,14 +619,12 @@ def _totals(spark, rows) -> DataFrame:
 @query()
 def power_sweep(spark, sf_dir):
     s = _stages(spark, sf_dir).space(WHOLE)
-    s.table = s.table.persist()
     return _totals(spark, [(f"{p:g}", *t.values()) for p, t in laboratory.sweep_power(s)])
 
 
 @query()
 def sign_ablation(spark, sf_dir):
     s = _stages(spark, sf_dir).space(WHOLE)
-    s.table = s.table.persist()
     rows = laboratory.ablate_signs(s)
     return _totals(spark, [(label, *t.values()) for label, _, t in rows])
 
@@ -642,7 +641,7 @@ def dimension_curve(spark, sf_dir):
 
 
 @query()
-def audit_window(spark, sf_dir):
+def audit_settings(spark, sf_dir):
     got = laboratory.audit(_ruler(spark, sf_dir), base=WHOLE)
     return spark.createDataFrame([(f.parameter, str(v), s) for f in got for v, s in f.scores], "parameter string, value string, rho double")
 
@@ -664,7 +663,7 @@ def ruler_sweep(spark, sf_dir):
 
 def _ppmi(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     st = _stages(spark, sf_dir)
-    return st.vocab(WHOLE).select("id", "word"), weight.ppmi(st.counts(WHOLE)).persist()
+    return st.vocab(WHOLE).select("id", "word"), kept(weight.ppmi(st.counts(WHOLE)))
 
 
 def top_contexts(w: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
@@ -696,7 +695,7 @@ def heldout_truth_whole(spark, sf_dir):
 @query()
 def heldout_spearman_whole(spark, sf_dir):
     r = _ruler(spark, sf_dir)
-    own = sparse_space.all_cosines(weight.ppmi(r.stages.counts(WHOLE)).persist())
+    own = sparse_space.all_cosines(kept(weight.ppmi(r.stages.counts(WHOLE))))
     both = r.actual.join(own, ["i", "j"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))).select(F.round("actual", 9).alias("actual"), F.round("cosine", 9).alias("predicted"))
     both = spark.createDataFrame(both.collect(), "actual double, predicted double")  # no more rows than pairs were drawn
     return stats.spearman(both, "predicted", "actual").select(F.round("rho", 6).alias("rho"), "n")
