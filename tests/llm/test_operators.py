@@ -302,3 +302,35 @@ def test_hot_tokens_join_across_blocks(spark, monkeypatch, block, salt):
     assert 3 < len(set(least.values())) < len(s) - 5
     out = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
     assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in out.collect()} == {(k, least[k], sum(a == k for a, _ in links)) for k in s}
+
+
+def test_pii_of_letters_that_no_alphabet_holds(spark):
+    """Names that can't be permuted get a defined surrogate; distinct ones stay distinct, surnames keep theirs."""
+    names = ["Øø", "Åå", "Ðð", "Þþ", "Æø"]
+    texts = [f"I met Mr {n} today." for n in names] + [f"Frau {n}" for n in names] + ["mail 用户@example.org now"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(rows, b"key").collect()}
+    made = [got[k].split()[3] for k in range(5)]
+    assert len(set(made)) == 5 and not set(made) & set(names)
+    assert made == [got[5 + k].split()[1] for k in range(5)]
+    assert "用" not in got[10] and got[10].endswith(".org now")
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_pii_keeps_surnames_and_values_apart(spark, monkeypatch, sent):
+    """Many first names on one surname: brute force over all that was written."""
+    monkeypatch.setattr(pii, "SENT_VALUES", sent)
+    first = ["Anna", "John", "Kim", "Bo", "Maria", "Lee", "Paul", "Zed", "Uma", "Ray", "Sol"]
+    texts = [f"{t} {f} {s}" for f in first for s in ("Smith", "Jones") for t in ("Dr", "Prof")] + ["Mr Smith", "Mrs Jones", None, ""] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(df, b"key").collect()}
+    by = {}
+    for k, t in enumerate(texts):
+        assert (out[k] is None) == (t is None) and (t != "" or out[k] == "")
+        if t:
+            by.setdefault(t.split(" ", 1)[1], set()).add(out[k].split(" ", 1)[1])
+    assert all(len(v) == 1 for v in by.values())
+    assert len(set.union(*by.values())) == len(by) and not set.union(*by.values()) & set(by)
+    for s in ("Smith", "Jones"):
+        (alone,) = by[s]
+        assert all(next(iter(by[f"{f} {s}"])).endswith(" " + alone) for f in first[:5])

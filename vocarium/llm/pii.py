@@ -42,6 +42,11 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "
 #: Letters that may replace each other, each its own upper case beside it.
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "àâäçèéêëîïñóôöùûüáíú", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω", "άέήίόύώ")
 
+#: Draws of a name that leave its surname's surrogate alone.
+SURNAME_DRAWS = 8
+#: Values with a draw of their own that every worker gets; beyond, documents get theirs by a join.
+SENT_VALUES = 100_000
+
 _NAMES = {n: key for key, names in FIRST_NAMES.items() for n in names}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w’'-]+"
 PATTERNS = (
@@ -122,13 +127,17 @@ def same_format(key: bytes, label: str, value: str, fixed: set[int] = frozenset(
             shape.append(f"<{len(alphabet)}{'u' if c != low else ''}>")
         else:
             shape.append(c)
-    if size == 1:
-        return value
     out = list(value)
-    number = permuted(key, label + "".join(shape), number, size)
+    if size > 1:
+        number = permuted(key, label + "".join(shape), number, size)
     for k, alphabet, upper in reversed(places):
         number, d = divmod(number, len(alphabet))
         out[k] = alphabet[d].upper() if upper else alphabet[d]
+    taken = {k for k, _, _ in places} | fixed
+    for k, c in enumerate(value):
+        if c.isalpha() and k not in taken:  # no permutation holds it; the check of collisions keeps values apart
+            letter = ALPHABETS[0][hmac.digest(key, f"{label}{value}|{k}".encode(), "sha256")[0] % 26]
+            out[k] = letter.upper() if c.isupper() else letter
     return "".join(out)
 
 
@@ -173,7 +182,8 @@ def surrogate(key: bytes, kind: str, value: str, detail: str = "", attempt: int
                 at = names.index(w) if w in names else int.from_bytes(hmac.digest(key, (label + w).encode(), "sha256")[:8], "big") % len(names)
                 out.append(names[permuted(key, f"{label}{script}{gender}", at, len(names))])
             else:
-                out.append(same_format(key, label + "surname", w))
+                draw = attempt if len(words) == 1 else max(0, attempt - SURNAME_DRAWS)
+                out.append(same_format(key, f"name#{draw}|surname", w))
         return " ".join(out)
     if re.fullmatch("[0-9a-f]+", value):
         return f"{permuted(key, label + str(len(value)), int(value, 16), 16 ** len(value)):0{len(value)}x}"
@@ -216,7 +226,8 @@ def replace_pii(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     """The table with surrogates in the text column, and the columns ``pii_types`` and ``pii_count``.
 
     Entities, not texts, are shuffled: distinct values of the whole corpus are checked against each
-    other, and only documents that hold a value which had to draw again get its attempt number by a join.
+    other, and values that had to draw again go to every worker. Where they are more than SENT_VALUES, documents
+    get theirs by a join on the text's hash, which shuffles texts; copies of one text are split as skew.
     """
     spark = df.sparkSession
     shared.short_batches(spark)
@@ -276,18 +287,25 @@ def _rewritten(df: DataFrame, drawn: DataFrame, key: bytes, text_col: str) -> Da
         for b in batches:
             text = b.column("text")
             out, kinds, counts = [], [], []
-            extra = b.column("drawn").to_pylist() if "drawn" in b.schema.names else [None] * len(text)
-            for t, d in zip(text.to_pylist(), extra, strict=True):
-                new, seen = (None, []) if t is None else pseudonymise(t, key, {(x["kind"], x["value"]): (x["detail"], x["attempt"]) for x in d or ()})
+            if sent is None:
+                drawn_of = [{(x["kind"], x["value"]): (x["detail"], x["attempt"]) for x in d or ()} for d in b.column("drawn").to_pylist()]
+            else:
+                drawn_of = [sent.value] * len(text)
+            for t, d in zip(text.to_pylist(), drawn_of, strict=True):
+                new, seen = (None, []) if t is None else pseudonymise(t, key, d)
                 out.append(new)
                 kinds.append(sorted({k for k, _, _ in seen}))
                 counts.append(len(seen))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(counts, pa.int64())], ["row", "text", "pii_types", "pii_count"])
 
-    if not drawn.isEmpty():
-        slim = df.select(F.xxhash64(df[text_col]).alias("h"), df[text_col].alias("text"))
-        held = slim.mapInArrow(occurrences, "h long, kind string, value string").join(drawn, ["kind", "value"]).groupBy("h").agg(F.collect_set(F.struct("kind", "value", "detail", "attempt")).alias("drawn"))
-        packed = packed.withColumn("h", F.xxhash64("text")).join(held, "h", "left").drop("h")
+    few = drawn.limit(SENT_VALUES + 1).toArrow()
+    if few.num_rows <= SENT_VALUES:
+        sent = df.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): (r["detail"], r["attempt"]) for r in few.to_pylist()})
+    else:
+        sent = None
+        slim = df.select(F.xxhash64(df[text_col]).alias("h"), df[text_col].alias("text")).where("text is not null")
+        held = slim.mapInArrow(occurrences, "h long, kind string, value string").distinct().join(drawn.hint("merge"), ["kind", "value"]).groupBy("h").agg(F.collect_set(F.struct("kind", "value", "detail", "attempt")).alias("drawn"))
+        packed = packed.withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(held.hint("merge"), "h", "left").drop("h")
     row = packed.schema["row"].dataType.simpleString()
     out = packed.mapInArrow(write, f"row {row}, text string, pii_types array<string>, pii_count long")
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names], "pii_types", "pii_count")

@@ -21,13 +21,15 @@ CHUNK_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the folder that the cluster shares, ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a single machine) a temporary folder takes its place.
+    Where the setting is absent, a local master (tests, a single machine) gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             base = jdir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="vocarium-")
             spark.sparkContext.setCheckpointDir(base)
