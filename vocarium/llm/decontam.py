@@ -5,7 +5,8 @@ pattern. For the patterns of one length, a shift table over blocks of two words
 search may move on; where it says zero, the suffix block's bucket names the patterns, narrowed by
 their first block, and a direct comparison of the words confirms each.
 
-The benchmark comes in blocks of a bounded number of words; each block's tables go to every worker.
+The benchmark comes in blocks of a bounded number of words, one at a time to the driver; each block's tables go to
+every worker. With several blocks the documents are written once with a row number, and each block's hits are written.
 Null and empty texts have no words. An empty benchmark hits nothing. Repeated items with one id count
 once, a null item id as ''. Rows that repeat are judged each. Extra columns are left aside.
 """
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from . import shared
 from .wordhash import ALNUM_WORDS, mix, span_hashes, words
 
-#: Benchmark words in one block; a larger benchmark is searched for in several passes.
-BLOCK_WORDS = 2_000_000
-TABLE_BITS = 18
+#: Benchmark words in one block; a larger benchmark is searched for in several passes. A block's tables take about 50
+#: bytes a word and 2 ** TABLE_BITS bytes for each length of a pattern, in arrays: that bounds what is broadcast.
+BLOCK_WORDS = 400_000
+TABLE_BITS = 21
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -48,59 +50,82 @@ def block_hashes(h: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pool:
+    """Words of one block of the benchmark as arrays: bytes, places, hashes, and the item of each."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]]):
+        self.names = sorted({item for item, _ in items})
+        number = {n: k for k, n in enumerate(self.names)}
+        every = [w for _, ws in items for w in ws]
+        self.data = b"".join(every)
+        self.end = np.cumsum([len(w) for w in every], dtype=np.int64)
+        self.start = self.end - np.array([len(w) for w in every], np.int64)
+        self.hash = _hash_words(every) if every else np.zeros(0, np.uint64)
+        per = np.array([len(ws) for _, ws in items], np.int64)
+        self.item = np.repeat(np.array([number[item] for item, _ in items], np.int32), per)
+        self.first, self.per = np.cumsum(per) - per, per
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.start[k] : self.end[k]]
+
+
 class WuManber:
-    """Tables for patterns of one length."""
+    """Tables for the patterns of one length, which begin at words ``at`` of the pool."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.m = length
+    def __init__(self, length: int, pool: Pool, at: np.ndarray):
+        self.m, self.pool = length, pool
         self.block = min(2, length)
         most = min(255, length - self.block + 1)
         self.shift = np.full(1 << TABLE_BITS, most, np.uint8)
-        self.buckets: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]] = {}
-        for p, items in patterns.items():
-            h = _hash_words(list(p))
-            b = block_hashes(h) if self.block == 2 else mix(h)
-            for j in range(self.block - 1, length):
-                at = int(b[j] >> np.uint64(64 - TABLE_BITS))
-                self.shift[at] = min(self.shift[at], length - 1 - j)
-            self.buckets.setdefault(int(b[-1]), {}).setdefault(int(b[self.block - 1]), []).append((p, items))
+        blocks = block_hashes(pool.hash) if self.block == 2 else mix(pool.hash)
+        for j in range(self.block - 1, length):
+            np.minimum.at(self.shift, (blocks[at + j] >> np.uint64(64 - TABLE_BITS)).astype(np.int64), min(255, length - 1 - j))
+        # buckets: patterns with one suffix block stand together
+        order = np.argsort(blocks[at + length - 1], kind="stable")
+        self.at = at[order]
+        self.suffix, self.prefix = blocks[self.at + length - 1], blocks[self.at + self.block - 1]
 
     def search(self, shift: bytes, blocks: np.ndarray, word, n: int) -> Iterator[tuple[int, set[str]]]:
         """(first word, items) of each occurrence; word(k) gives the bytes of word k."""
-        m, at = self.m, self.m - 1
+        m, at, pool = self.m, self.m - 1, self.pool
         while at < n:
             step = shift[at]
             if step:
                 at += step
                 continue
-            bucket = self.buckets.get(int(blocks[at]))
-            if bucket:
+            lo, hi = (int(np.searchsorted(self.suffix, blocks[at], side=side)) for side in ("left", "right"))
+            if lo < hi:
                 first = at - m + 1
-                for p, items in bucket.get(int(blocks[first + self.block - 1]), ()):
-                    if all(word(first + k) == w for k, w in enumerate(p)):
-                        yield first, items
+                near = self.at[lo:hi][self.prefix[lo:hi] == blocks[first + self.block - 1]]
+                items = {pool.names[pool.item[p]] for p in near.tolist() if all(word(first + k) == pool.word(p + k) for k in range(m))}
+                if items:
+                    yield first, items
             at += 1
 
 
 def tables(items: list[tuple[str, list[bytes]]], width: int) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, ws in items:
-        m = min(width, len(ws))
-        for k in range(len(ws) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(ws[k : k + m]), set()).add(item)
-    return [WuManber(m, p) for m, p in sorted(by_length.items())]
+    pool = Pool(items)
+    by_length: dict[int, list[np.ndarray]] = {}
+    for first, n in zip(pool.first.tolist(), pool.per.tolist(), strict=True):
+        if m := min(width, n):
+            by_length.setdefault(m, []).append(np.arange(first, first + n - m + 1))
+    return [WuManber(m, pool, np.concatenate(at)) for m, at in sorted(by_length.items())]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in blocks of at most BLOCK_WORDS words; a longer item comes in parts that overlap by a window less a word."""
     held, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     for r in rows.toLocalIterator():
         ws = item_words(r["text"])
-        if held and size + len(ws) > BLOCK_WORDS:
-            yield held
-            held, size = [], 0
-        held.append((r["item"], ws))
-        size += len(ws)
+        step = max(1, BLOCK_WORDS - width + 1)
+        for lo in range(0, max(1, len(ws) - width + 1), step):
+            part = ws[lo : lo + step + width - 1]
+            if held and size + len(part) > BLOCK_WORDS:
+                yield held
+                held, size = [], 0
+            held.append((r["item"], part))
+            size += len(part)
     yield held
 
 
@@ -139,13 +164,19 @@ def occurrences(docs: DataFrame, items: list[tuple[str, list[bytes]]], width: in
 def decontaminate(df: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) of every document."""
     shared.short_batches(df.sparkSession)
-    blocks = list(blocks_of(benchmark, item_col, item_text))
-    rid = F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("long")
-    docs = df.select(rid.alias("rid"), df[id_col].alias("id"), df[text_col].alias("text"))
+    docs = df.select(F.lit(0).cast("long").alias("rid"), df[id_col].alias("id"), df[text_col].alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    parts = [occurrences(docs, b, width, kind) for b in blocks]
-    found = parts[0]
-    if len(parts) > 1:  # the rows of one document, one from each block
+    blocks = blocks_of(benchmark, item_col, item_text, width)
+    block, ahead = next(blocks), next(blocks, None)
+    if ahead is None:
+        found = occurrences(docs, block, width, kind)
+    else:  # rows get a number that stays, and what each block finds meets by it
+        docs = shared.saved(docs.withColumn("rid", F.monotonically_increasing_id()))
+        parts = []
+        while block is not None:
+            parts.append(shared.saved(occurrences(docs, block, width, kind).where("size(items) > 0" if parts else "true")))
+            block, ahead = ahead, next(blocks, None)
+        found = parts[0]
         for p in parts[1:]:
             found = found.unionAll(p)
         found = found.groupBy("rid").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -172,7 +203,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, width: int = 10, id_col:
 def clean(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows whose text holds no window of any item. A filter for each block of the benchmark; no shuffle."""
     shared.short_batches(df.sparkSession)
-    for items in blocks_of(benchmark, item_col, item_text):
+    for items in blocks_of(benchmark, item_col, item_text, width):
         row = F.struct(*[df[f"`{c}`"] for c in df.columns])
         packed = df.select(F.lit(0).cast("long").alias("rid"), row.alias("id"), df[text_col].alias("text"))
         found = occurrences(packed, items, width, packed.schema["id"].dataType.simpleString())
