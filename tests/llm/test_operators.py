@@ -152,10 +152,10 @@ def test_token_files(spark, docs, empty):
     got = token_output.read_tokens(spark, token_output.write_tokens(docs, shared.shared_dir(spark), PATH, 2)).orderBy("start").collect()
     lib = fastbpe.encoder(PATH).lib
     at = 0
-    assert [r["id"] for r in got] == [-1, 0, 1, 2, 3, 4, 5, 5, 7, 8]
+    assert [r["id"] for r in got] == [None, 0, 1, 2, 3, 4, 5, 5, 7, 8]
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in got:
-        ids = [*lib.encode(text[None if r["id"] == -1 else r["id"]], add_special_tokens=False).ids, 2]
+        ids = [*lib.encode(text[r["id"]], add_special_tokens=False).ids, 2]
         assert r["start"] == at and r["n_tokens"] == len(ids) and r["ids"] == b"".join(i.to_bytes(4, "little") for i in ids) and r["ids_crc32"] == zlib.crc32(r["ids"])
         at += len(ids)
     assert token_output.read_tokens(spark, token_output.write_tokens(empty, shared.shared_dir(spark), PATH, 2)).count() == 0
@@ -334,3 +334,17 @@ def test_pii_keeps_surnames_and_values_apart(spark, monkeypatch, sent):
     for s in ("Smith", "Jones"):
         (alone,) = by[s]
         assert all(next(iter(by[f"{f} {s}"])).endswith(" " + alone) for f in first[:5])
+
+
+def test_packed_ids_are_the_library_s(docs):
+    lib = fastbpe.encoder(PATH).lib
+    pieces = packing.pack(docs, PATH, 1, window=512).collect()
+    want = Counter(zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 1])) for r in docs.collect())
+    whole, part = Counter(), b""
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["start"] * 4 == len(part)
+        part += r["ids"]
+        if len(part) == 4 * r["doc_tokens"]:
+            whole[zlib.crc32(part)] += 1
+            part = b""
+    assert whole == want and not part
