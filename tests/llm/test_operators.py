@@ -348,3 +348,22 @@ def test_packed_ids_are_the_library_s(docs):
             whole[zlib.crc32(part)] += 1
             part = b""
     assert whole == want and not part
+
+
+def test_media_that_cannot_be_read(spark):
+    good = ogg.encode(ogg.payload_of("abc"), {"bytes": "3"})
+    hurt = good[:40] + bytes([good[40] ^ 1]) + good[41:]
+    rows = spark.createDataFrame([(1, good), (2, None), (3, hurt), (4, good[:-1]), (5, b""), (6, b"x" * 99)], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in ogg.media_features(rows).collect()}
+    assert got[1]["error"] is None and got[1]["n_bytes"] == 3 and got[1]["feature"].startswith("pages=")
+    assert all(got[k]["error"] and got[k]["payload_sha256"] is None and got[k]["feature"] is None for k in range(2, 7))
+    assert got[2]["media_bytes"] is None and got[5]["media_bytes"] == 0
+
+
+def test_feature_strings_against_plain_loops(docs):
+    for r in ogg.media_features(ogg.media_column(docs)).collect():
+        raw = (next(d["text"] for d in docs.collect() if d["doc_id"] == r["doc_id"]) or "").encode()
+        x = [v - 128 for v in raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))]
+        told = dict(p.split("=") for p in r["feature"].split(";"))
+        assert int(told["peak"]) == max(map(abs, x)) and int(told["power"]) == sum(v * v for v in x)
+        assert int(told["cross"]) == sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])) and int(told["us"]) == round(len(x) / 8000 * 1e6)

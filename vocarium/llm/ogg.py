@@ -1,12 +1,13 @@
 """Media columns in Ogg: a payload as 8-bit samples in pages with checksums, and back.
 
-Written are two logical streams, interleaved: ``PCM8`` (a header packet, then packets of samples;
-granule position = samples so far) and ``META`` (one packet of key=value lines). Reading verifies
+Written are two logical streams, their pages in turn: ``PCM8`` (a header packet, then packets of samples;
+granule position = samples so far) and ``META`` (a header packet, then one of key=value lines). Reading verifies
 every page's checksum and sequence number, sorts pages by serial number, joins packets from the lacing
 values across pages, and takes times from granule positions.
 
 The payload of a text is its UTF-8 bytes with zeros up to a positive multiple of 64; null and empty
-texts give 64 zeros. Equal texts give equal media. Repeated rows are kept; other columns stay out.
+texts give 64 zeros. Equal texts give equal media. Repeated rows are kept; other columns stay out. A media
+value that is null or can't be read has nulls for all that would be read from it, and says why in ``error``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +78,9 @@ def pages(packets: list[tuple[bytes, int]], serial: int) -> list[bytes]:
 def encode(payload: bytes, meta: dict[str, str]) -> bytes:
     sound = [(b"PCM8" + struct.pack("<IBQ", RATE, 1, len(payload)), 0)]
     sound += [(payload[k : k + PACKET], min(k + PACKET, len(payload))) for k in range(0, len(payload), PACKET)]
-    notes = [(b"META" + "\n".join(f"{k}={v}" for k, v in sorted(meta.items())).encode(), 0)]
-    a, b = pages(sound, SOUND), pages(notes, META)
-    return b"".join([a[0], b[0], *a[1:], *b[1:]])
+    notes = [(b"META", 0), ("\n".join(f"{k}={v}" for k, v in sorted(meta.items())).encode(), 0)]
+    turns = zip_longest(pages(sound, SOUND), pages(notes, META), fillvalue=b"")
+    return b"".join(page for turn in turns for page in turn)
 
 
 class Damaged(ValueError):
@@ -138,7 +140,7 @@ def decode(data: bytes) -> tuple[bytes, dict]:
     ends = [g for g in sound["granules"] if g is not None]
     if len(payload) != samples or ends[-1] != samples or ends != sorted(ends):
         raise Damaged("granule positions differ from the samples")
-    meta = dict(x.split("=", 1) for x in notes["packets"][0][4:].decode().split("\n") if x)
+    meta = dict(x.split("=", 1) for x in notes["packets"][1].decode().split("\n") if x)
     return payload, {"pages": sound["pages"] + notes["pages"], "packets": len(sound["packets"]) + len(notes["packets"]), "times": [g / (rate * channels) for g in ends], "meta": meta}
 
 
@@ -171,21 +173,26 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read the media column back: payload and media digests, and the feature string."""
+    """Read the media column back: payload and media digests, the feature string, and what is wrong with a row."""
     slim = df.select(df[id_col].alias("id"), "media")
     kind = slim.schema["id"].dataType.simpleString()
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for m in b.column(1):
-                data = m.as_buffer().to_pybytes()
-                payload, info = decode(data)
-                rows.append((int(info["meta"]["bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, info)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            for data in b.column(1).to_pylist():
+                stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                try:
+                    if data is None:
+                        raise Damaged("no media")
+                    payload, info = decode(data)
+                    rows.append((int(info["meta"]["bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, feature(payload, info), None))
+                except (Damaged, KeyError, IndexError, ValueError, struct.error) as e:
+                    rows.append((None, None, None, None, *stored, None, str(e)))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    out = slim.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = slim.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
     return out.withColumnRenamed("id", id_col)
