@@ -217,8 +217,8 @@ def pseudonymise(text: str, key: bytes, drawn: dict[tuple[str, str], tuple[str,
 def _collisions(pairs: DataFrame) -> DataFrame:
     """(kind, value) that must draw again, of the distinct pairs (kind, value, made)."""
     shared_ = pairs.groupBy("kind", "made").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = pairs.join(shared_, ["kind", "made"]).where("value <> first").select("kind", "value")
-    real = pairs.join(pairs.select("kind", F.col("value").alias("made")).distinct(), ["kind", "made"], "left_semi").select("kind", "value")
+    later = pairs.join(shared_.hint("merge"), ["kind", "made"]).where("value <> first").select("kind", "value")
+    real = pairs.join(pairs.select("kind", F.col("value").alias("made")).distinct().hint("merge"), ["kind", "made"], "left_semi").select("kind", "value")
     return later.unionAll(real).distinct()
 
 
