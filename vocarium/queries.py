@@ -518,8 +518,8 @@ def noise_spread(spark, sf_dir):
 
 @query("SELECT round(sqrt(sum(sd * sd)), 6) AS combined FROM (SELECT stddev_samp(l_discount) AS sd FROM lineitem GROUP BY l_linenumber)")
 def axis_combined(spark, sf_dir):
-    sds = _table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(stats.sample_sd("l_discount").alias("sd"))
-    return sds.agg(F.round(F.sqrt(F.sum(F.col("sd") * F.col("sd"))), 6).alias("combined"))
+    axes = _table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(stats.sample_sd("l_discount").alias("sd")).collect()  # seven rows
+    return spark.createDataFrame([(round(laboratory.combined(axes), 6),)], "combined double")
 
 
 _EFFECTS = [("a", 0.05), ("a", -0.05), ("b", 0.0042), ("b", -0.0026), ("c", 0.35), ("c", 0.02), ("d", 0.05), ("d", 0.0)]
@@ -527,8 +527,10 @@ _EFFECTS = [("a", 0.05), ("a", -0.05), ("b", 0.0042), ("b", -0.0026), ("c", 0.35
 
 @query(f"SELECT claim, count(DISTINCT effect > 0) FILTER (abs(effect) > {claims.EFFECT_SD}) > 1 AS reverses FROM (VALUES {', '.join(f'({c!r}, {e})' for c, e in _EFFECTS)}) AS t(claim, effect) GROUP BY claim")
 def effect_reverses(spark, sf_dir):
-    t = spark.createDataFrame(_EFFECTS, "claim string, effect double")
-    return t.groupBy("claim").agg((F.countDistinct(F.when(F.abs("effect") > claims.EFFECT_SD, F.col("effect") > 0)) > 1).alias("reverses"))
+    by: dict[str, dict[str, float]] = {}
+    for ruler, (claim, effect) in enumerate(_EFFECTS):
+        by.setdefault(claim, {})[str(ruler)] = effect
+    return spark.createDataFrame([(c, laboratory.reverses(e, claims.EFFECT_SD)) for c, e in by.items()], "claim string, reverses boolean")
 
 
 # --- claims -------------------------------------------------------------------------
@@ -550,7 +552,8 @@ def claims_missing_controls(spark, sf_dir):
 
 @query(_with(_CLAIMS) + "SELECT status, count(*) AS n FROM claims GROUP BY status")
 def claims_by_status(spark, sf_dir):
-    return claims.register(spark).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    every = claims.register(spark)
+    return spark.createDataFrame([(s, n) for s in claims.REQUIRED if (n := claims.by_status(every, s).count())], "status string, n long")
 
 
 @query(_with(_CLAIMS, "every AS (SELECT unnest(" + _list(claims.CONTROLS) + ") AS control)", "used AS (SELECT unnest(controls) AS control FROM claims)") + "SELECT e.control, count(u.control) AS n FROM every e LEFT JOIN used u ON u.control = e.control GROUP BY e.control")
