@@ -54,10 +54,15 @@ def fold_accents(text: Column, exact: bool = False) -> Column:
 
 
 def normalise(text: Column, lowercase: bool = True, fold: bool = True, exact: bool = False) -> Column:
-    """Apostrophes to one kind, then folding, then lower case, in this order."""
+    """Apostrophes to one kind, then folding, then lower case, in this order.
+
+    A text of as many bytes as characters is ASCII, which neither step changes, so it skips both.
+    """
     out = F.translate(text, APOSTROPHES, "''")
     if fold:
         out = fold_accents(out, exact)
+    if not exact:
+        out = F.when(F.octet_length(text) == F.length(text), text).otherwise(out)
     return F.lower(out) if lowercase else out
 
 

@@ -35,14 +35,6 @@ def sample_pairs(ceiling: int, count: int, filled: Callable[[int], bool], seed:
     return sorted(out)
 
 
-def hashed_pairs(ids: DataFrame, ceiling: int, one_in: int) -> DataFrame:
-    """A sample of pairs i < j by arithmetic on the ids; every cluster and every SQL engine draws the same."""
-    a = ids.where(F.col("id") < ceiling).select(F.col("id").alias("i"))
-    b = ids.where(F.col("id") < ceiling).select(F.col("id").alias("j"))
-    # a vocabulary prefix, bounded by the ceiling
-    return a.join(F.broadcast(b), (F.col("i") < F.col("j")) & ((F.col("i") * 31 + F.col("j") * 17) % one_in == 0))
-
-
 def truth_cosines(truth: DataFrame, pairs: DataFrame) -> DataFrame:
     """(i, j, actual) of the pairs that share something; computed once for all candidates."""
     return sparse_space.cosines(truth, pairs).where("cosine <> 0").select("i", "j", F.col("cosine").alias("actual"))

@@ -81,7 +81,7 @@ def _tokens(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tokens(spark, sf_dir)
+    t = kept(_tokens(spark, sf_dir))  # read for the vocabulary, the positions and the offsets
     return vocab.encode(t, kept(vocab.build_vocab(t, 4000, 10)))
 
 
@@ -211,20 +211,28 @@ _weighted("weight_log", _with(*_CELLS) + "SELECT i, j, round(ln(1 + w), 6) AS v
 _weighted("weight_raw", _with(*_CELLS) + "SELECT i, j, round(w, 6) AS v FROM cells", "raw")
 
 
+def top_contexts(w: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
+    """(word, context, rnk, v): the n best contexts of every row."""
+    top = w.withColumn("rnk", F.row_number().over(Window.partitionBy("i").orderBy(F.round("v", 9).desc(), F.desc("j"))).cast("long")).where(F.col("rnk") <= n)
+    out = top.join(F.broadcast(names.select(F.col("id").alias("i"), "word")), "i").join(F.broadcast(names.select(F.col("id").alias("j"), F.col("word").alias("context"))), "j")
+    return out.select("word", "context", "rnk", F.round("v", 6).alias("v"))
+
+
+def _ppmi(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t = kept(_tokens(spark, sf_dir))
+    v = kept(vocab.build_vocab(t, 4000, 10))
+    return v.select("id", "word"), kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(t, v), 4, True, 1.0))))
+
+
 @query(
     _with(*_CELLS, _pmi_sql())
     + """SELECT a.word AS word, b.word AS context, rnk, round(v, 6) AS v FROM
-(SELECT i, j, v, row_number() OVER (PARTITION BY i ORDER BY round(v, 9) DESC, j DESC) AS rnk FROM weighted WHERE i < 10) JOIN vocab a ON a.id = i JOIN vocab b ON b.id = j WHERE rnk <= 10"""
+(SELECT i, j, v, row_number() OVER (PARTITION BY i ORDER BY round(v, 9) DESC, j DESC) AS rnk FROM weighted) JOIN vocab a ON a.id = i JOIN vocab b ON b.id = j WHERE rnk <= 10"""
 )
 def ppmi_top_contexts(spark, sf_dir):
-    """Top ten contexts of the ten commonest words: the flagship, from text to a sparse vector query."""
-    t = _tokens(spark, sf_dir)
-    v = kept(vocab.build_vocab(t, 4000, 10))
-    w = weight.ppmi(kept(counts.cooccurrence(vocab.encode(t, v), 4, True, 1.0))).where("i < 10")
-    top = w.withColumn("rnk", F.row_number().over(Window.partitionBy("i").orderBy(F.round("v", 9).desc(), F.desc("j"))).cast("long")).where("rnk <= 10")
-    names = v.select("id", "word")
-    out = top.join(F.broadcast(names.select(F.col("id").alias("i"), "word")), "i").join(F.broadcast(names.select(F.col("id").alias("j"), F.col("word").alias("context"))), "j")
-    return out.select("word", "context", "rnk", F.round("v", 6).alias("v"))
+    """Top ten contexts of every word: the flagship, from text to a sparse vector query."""
+    names, w = _ppmi(spark, sf_dir)
+    return top_contexts(w, names)
 
 
 # --- sparse rows ----------------------------------------------------------------
@@ -238,16 +246,14 @@ def sparse_row_norms(spark, sf_dir):
     return w.groupBy(F.col("i").cast("long").alias("i")).agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
 
 
-_PAIRS = "pairs AS (SELECT a.id AS i, b.id AS j FROM vocab a JOIN vocab b ON a.id < b.id AND (a.id * 31 + b.id * 17) % 7 = 0 WHERE a.id < 200 AND b.id < 200)"
+def _cosines_sql(units: str = "units", name: str = "cosines") -> str:
+    return f"{name} AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) AS cosine FROM {units} a JOIN {units} b ON a.j = b.j AND a.i < b.i GROUP BY a.i, b.i)"
 
 
-@query(_with(*_CELLS, _pmi_sql(), _UNITS, _PAIRS) + "SELECT p.i, p.j, round(coalesce(sum(a.v * b.v), 0), 6) AS cosine FROM pairs p LEFT JOIN units a ON a.i = p.i LEFT JOIN units b ON b.i = p.j AND b.j = a.j GROUP BY p.i, p.j")
+@query(_with(*_CELLS, _pmi_sql(), _UNITS, _cosines_sql()) + "SELECT i, j, round(cosine, 6) AS cosine FROM cosines")
 def sparse_cosine_pairs(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    v = kept(vocab.build_vocab(t, 4000, 10))
-    w = kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(t, v), 4, True, 1.0))))
-    out = sparse_space.cosines(w, heldout.hashed_pairs(v, 200, 7))
-    return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("cosine", 6).alias("cosine"))
+    """Cosines of all word pairs that share a context."""
+    return sparse_space.all_cosines(_ppmi(spark, sf_dir)[1]).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(
@@ -453,8 +459,7 @@ def split_documents_offset(spark, sf_dir):
 _HELD = (
     _tokens_sql(),
     "train AS (SELECT * FROM tokens WHERE (pos // 100) % 2 = 0)", "test AS (SELECT * FROM tokens WHERE (pos // 100) % 2 = 1)",
-    _vocab_sql(tokens="train"), _ids_sql("test"), _cells_sql(), _pmi_sql(0.75), _UNITS, _PAIRS,
-    "actual AS (SELECT p.i, p.j, sum(a.v * b.v) AS actual FROM pairs p JOIN units a ON a.i = p.i JOIN units b ON b.i = p.j AND b.j = a.j GROUP BY p.i, p.j HAVING sum(a.v * b.v) <> 0)",
+    _vocab_sql(tokens="train"), _ids_sql("test"), _cells_sql(), _pmi_sql(0.75), _UNITS, _cosines_sql(name="actual"),
 )
 
 
@@ -463,12 +468,13 @@ def _held(spark, sf_dir):
     train = split.where("half = 'train'")
     v = kept(vocab.build_vocab(train, 4000, 10))
     truth = kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(split.where("half = 'test'"), v), 4, True, 1.0)), 0.75))
-    return train, v, kept(heldout.truth_cosines(truth, heldout.hashed_pairs(v, 200, 7)))
+    return train, v, sparse_space.all_cosines(truth)
 
 
-@query(_with(*_HELD) + "SELECT i, j, round(actual, 6) AS actual FROM actual")
+@query(_with(*_HELD) + "SELECT i, j, round(cosine, 6) AS actual FROM actual")
 def heldout_truth_cosine(spark, sf_dir):
-    return _held(spark, sf_dir)[2].select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("actual", 6).alias("actual"))
+    """Cosines in the unseen half of all word pairs that share a context there."""
+    return _held(spark, sf_dir)[2].select("i", "j", F.round("cosine", 6).alias("actual"))
 
 
 _RANKED = "(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0)"
@@ -478,15 +484,18 @@ _RANKED = "(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1)
     _with(
         *_HELD, _ids_sql("train", "tids"), _cells_sql(ids="tids", name="tcells"), _pmi_sql(cells="tcells", name="tw"),
         _UNITS.replace("weighted", "tw").replace("norms", "tnorms").replace("units", "tunits"),
-        "predicted AS (SELECT p.i, p.j, round(p.actual, 9) AS actual, round(coalesce(sum(a.v * b.v), 0), 9) AS predicted FROM actual p LEFT JOIN tunits a ON a.i = p.i LEFT JOIN tunits b ON b.i = p.j AND b.j = a.j GROUP BY p.i, p.j, p.actual)",
+        _cosines_sql("tunits", "own"),
+        "predicted AS (SELECT round(p.cosine, 9) AS actual, round(coalesce(o.cosine, 0), 9) AS predicted FROM actual p LEFT JOIN own o ON o.i = p.i AND o.j = p.j)",
         f"ranked AS (SELECT {_RANKED.format(x='actual')} AS x, {_RANKED.format(x='predicted')} AS y FROM predicted)",
     )
     + "SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM ranked"
 )
 def heldout_spearman_hash(spark, sf_dir):
+    """Rank correlation of both halves' cosines over all word pairs that share a context in the unseen half."""
     train, v, actual = _held(spark, sf_dir)
-    own = kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(train, v), 4, True, 1.0))))
-    both = kept(sparse_space.cosines(own, actual).select(F.round("actual", 9).alias("actual"), F.round("cosine", 9).alias("predicted")))
+    own = sparse_space.all_cosines(kept(weight.ppmi(kept(counts.cooccurrence(vocab.encode(train, v), 4, True, 1.0)))))
+    both = actual.select("i", "j", F.round("cosine", 9).alias("actual")).join(own, ["i", "j"], "left")
+    both = kept(both.select("actual", F.round(F.coalesce("cosine", F.lit(0.0)), 9).alias("predicted")))
     return stats.spearman(both, "predicted", "actual").select(F.round("rho", 6).alias("rho"), "n")
 
 
@@ -661,42 +670,17 @@ def ruler_sweep(spark, sf_dir):
     return spark.createDataFrame([(c, r, e) for c, by in got.items() for r, e in by.items()], "claim string, ruler string, effect double")
 
 
-# --- whole results of the queries above that have SQL twins over a subset; held against brute force in tests ----
-
-
-def _ppmi(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    st = _stages(spark, sf_dir)
-    return st.vocab(WHOLE).select("id", "word"), kept(weight.ppmi(st.counts(WHOLE)))
-
-
-def top_contexts(w: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
-    """(word, context, rnk, v): the n best contexts of every row."""
-    top = w.withColumn("rnk", F.row_number().over(Window.partitionBy("i").orderBy(F.round("v", 9).desc(), F.desc("j"))).cast("long")).where(F.col("rnk") <= n)
-    out = top.join(F.broadcast(names.select(F.col("id").alias("i"), "word")), "i").join(F.broadcast(names.select(F.col("id").alias("j"), F.col("word").alias("context"))), "j")
-    return out.select("word", "context", "rnk", F.round("v", 6).alias("v"))
-
-
-@query()
-def ppmi_top_contexts_whole(spark, sf_dir):
-    """Top ten contexts of every word of the vocabulary."""
-    names, w = _ppmi(spark, sf_dir)
-    return top_contexts(w, names)
-
-
-@query()
-def sparse_cosine_whole(spark, sf_dir):
-    """Cosines of all word pairs that share a context."""
-    return sparse_space.all_cosines(_ppmi(spark, sf_dir)[1]).withColumn("cosine", F.round("cosine", 6))
+# --- the held-out sampler of held-out pairs: drawn by the driver, so without SQL; held against brute force in tests ----
 
 
 @query()
-def heldout_truth_whole(spark, sf_dir):
-    """The reference's sampler: 4,000 pairs of the 1,200 commonest words."""
+def heldout_truth_sampled(spark, sf_dir):
+    """4,000 pairs drawn from the 1,200 commonest words."""
     return _ruler(spark, sf_dir).actual.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("actual", 6).alias("actual"))
 
 
 @query()
-def heldout_spearman_whole(spark, sf_dir):
+def heldout_spearman_sampled(spark, sf_dir):
     r = _ruler(spark, sf_dir)
     own = sparse_space.all_cosines(kept(weight.ppmi(r.stages.counts(WHOLE))))
     both = r.actual.join(own, ["i", "j"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))).select(F.round("actual", 9).alias("actual"), F.round("cosine", 9).alias("predicted"))
