@@ -10,6 +10,7 @@ from math import log10
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from vocarium.llm import components, decontam, fastbpe, lm, ngram_join, ogg, packing, pii, quality, shared, token_count, token_output, url_filter
 
@@ -131,6 +132,25 @@ def test_urls(spark):
     assert {x["verdict"] for x in url_filter.judge(pages.where("page_id in (6, 8)"), none).collect()} == {"allow"}
 
 
+def test_suffix_statistics_cover_every_url_and_suffix(spark):
+    rows = [(f"http://h{k}.s{k % 500}/x", int(k % 500 % 3 == 0 and k % 2)) for k in range(500 * 21)] + [("http://h.rare/x", 1)] * 19 + [("no scheme", 0)] * 20
+    df = spark.createDataFrame(rows, "url string, label int")
+    rates, rate = url_filter.suffix_rates(df)
+    by = {}
+    for u, y in rows:
+        by.setdefault(u.split("://")[1].split("/")[0].split(".")[-1] if "://" in u else "", []).append(y)
+    assert rate == sum(y for _, y in rows) / len(rows)
+    want = {k: (sum(y) + 20 * rate) / (len(y) + 20) for k, y in by.items() if len(y) >= 20}
+    got = {r["suffix"]: r["suffix_rate"] for r in rates.collect()}
+    assert got.keys() == want.keys() and len(got) == 501 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    hosts = spark.createDataFrame([("a.s3",)] * 3 + [("b.s4",), ("rare",), ("",), ("c.none",)], "host string")
+    small, large = (sorted((r["host"], r["suffix_rate"]) for r in url_filter.with_suffix_rate(hosts, F.col("host"), rates, rate, chars).collect()) for chars in (url_filter.SUFFIX_CHARS, 0))
+    assert small == large and [h for h, _ in small] == ["", "a.s3", "a.s3", "a.s3", "b.s4", "c.none", "rare"]
+    assert small[0][1] == got[""] and small[1][1] == got["s3"] and small[5][1] == small[6][1] == rate
+    none, zero = url_filter.suffix_rates(df.limit(0))
+    assert zero == 0.0 and none.count() == 0
+
+
 def test_pii(spark, docs, empty):
     names = [f"Mrs. {a}{b} Zz" for a in "BCDFGHKLM" for b in ("ova", "una", "ira", "ela", "ota")]
     people = spark.createDataFrame([row(100 + k, f"Seen: {n}.") for k, n in enumerate(names)], SCHEMA)

@@ -1,10 +1,11 @@
 """URL filters: host and path rules first, then gradient-boosted trees on lexical features.
 
 All of it is DataFrame expressions. Features: length, depth, digit ratio, entropy of the host, parameter
-count, hyphens, host labels, longest label, and how often URLs with the same suffix are blocked. Trees are
-grown level by level: one grouped sum of gradients by node, feature and bin a level, over a bounded sample
-of labelled URLs that is first reduced to its distinct bins; the driver only sees those sums. Scoring
-is one CASE expression a tree.
+count, hyphens, host labels, longest label, and how often URLs with the same suffix are blocked. The last
+is counted over all labelled URLs, for every suffix of at least ``SUFFIX_ROWS`` of them (rarer ones have the
+rate of all), and joined as a table. Trees are grown level by level: one grouped sum of gradients by node,
+feature and bin a level, over a bounded sample of labelled URLs that is first reduced to its distinct
+bins; the driver only sees those sums. Scoring is one CASE expression a tree.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by its
 features like any other. Repeated rows are judged each, extra columns stay out, an empty table gives no
@@ -24,6 +25,10 @@ from . import shared
 
 #: Labelled URLs that are learnt from, at most: those with the lowest hashes.
 TRAIN_ROWS = 20_000
+#: Labelled URLs that a suffix needs for a rate of its own.
+SUFFIX_ROWS = 20
+#: Characters and rows of suffixes that are broadcast, at most; a larger table meets the URLs by suffix and one of these salts.
+SUFFIX_CHARS, SUFFIX_KEYS, SALTS = 8 << 20, 200_000, 32
 TREES, DEPTH, BINS, RATE, SMOOTH = 12, 3, 16, 0.4, 1.0
 #: Gradients are summed as whole numbers of this unit, so that the sums don't depend on task order.
 UNIT = 1e6
@@ -95,16 +100,10 @@ def seed_label(host: Column, words=BLOCKED_WORDS) -> Column:
 class Boosted:
     """Trees as nested (feature, threshold, low, high) with leaf values; scored as one expression."""
 
-    rates: dict[str, float] = field(default_factory=dict)
     prior: float = 0.0
     trees: list = field(default_factory=list)
-
-    def suffix_rate(self, host: Column) -> Column:
-        rate = F.lit(self.rates.get("", 0.0))
-        if len(self.rates) > 1:
-            table = F.create_map(*[F.lit(x) for k, v in self.rates.items() if k for x in (k, v)])
-            rate = F.coalesce(F.element_at(table, suffix(host)), rate)
-        return rate
+    rates: DataFrame | None = None
+    rate: float = 0.0
 
     def margin(self, columns: dict[str, Column]) -> Column:
         def walk(t) -> Column:
@@ -116,22 +115,45 @@ class Boosted:
         return reduce(lambda a, b: a + b, map(walk, self.trees), F.lit(self.prior))
 
 
+def suffix_rates(known: DataFrame) -> tuple[DataFrame, float]:
+    """(suffix, suffix_rate) over all of known(url, label), and the rate of all."""
+    by = known.groupBy(suffix(host_and_path(F.col("url"))[0]).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
+    by = shared.saved(by)
+    n, bad = by.agg(F.sum("n"), F.sum("bad")).first()
+    share = bad / n if n else 0.0
+    return by.where(F.col("n") >= SUFFIX_ROWS).select("suffix", ((F.col("bad") + SUFFIX_ROWS * share) / (F.col("n") + SUFFIX_ROWS)).alias("suffix_rate")), share
+
+
+def with_suffix_rate(df: DataFrame, host: Column, rates: DataFrame | None, rate: float, chars: int = SUFFIX_CHARS) -> DataFrame:
+    """df with ``suffix_rate``. A suffix may hold most rows, so a join by suffix spreads it over salts."""
+    if rates is None:
+        return df.withColumn("suffix_rate", F.lit(rate))
+    keys, held = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("suffix")), F.lit(0))).first()
+    df, on = df.withColumn("suffix", suffix(host)), ["suffix"]
+    if keys <= SUFFIX_KEYS and held <= chars:
+        rates = F.broadcast(rates)
+    else:
+        rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # of all columns, so that only equal rows always share a salt
+        df, on = df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")), ["suffix", "salt"]
+    return df.join(rates, on, "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate))).drop(*on)
+
+
 def train(labelled: DataFrame, most: int = TRAIN_ROWS) -> Boosted:
-    """Fit on labelled(url, label 0/1); at most ``most`` rows are used."""
+    """Fit on labelled(url, label 0/1): trees on at most ``most`` rows, suffix statistics on all."""
     import math
 
     host, path = host_and_path(F.col("url"))
-    known = labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("url"), "url", "label").limit(most).select("url", "label", host.alias("host"), path.alias("path"))
-    known = shared.saved(known.select("label", suffix(F.col("host")).alias("suffix"), *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()]))
+    every = labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("int").alias("label"))
+    known = every.orderBy(F.xxhash64("url"), "url", "label").limit(most).select("url", "label", host.alias("host"), path.alias("path"))
+    known = shared.saved(known.select("label", "host", *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()]))
     total, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not bad or bad == total:
         return Boosted(prior=0.0 if not total else -4.0 if not bad else 4.0)
     share = bad / total
-    # suffix statistics of the bounded sample; rare suffixes share the overall rate
-    rates = {"": share} | {r["suffix"]: (r["b"] + 20 * share) / (r["n"] + 20) for r in known.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")).where("n >= 20").orderBy(F.desc("n"), "suffix").limit(200).collect()}
-    model = Boosted(rates, math.log(share / (1 - share)))
-    known = known.withColumn("suffix_rate", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in rates.items() for x in (k, v)]), F.col("suffix")), F.lit(share)))
+    rates, rate = suffix_rates(every)
+    model = Boosted(math.log(share / (1 - share)), rates=rates, rate=rate)
+    known = with_suffix_rate(known, F.col("host"), rates, rate).drop("host")
     at = [k / BINS for k in range(1, BINS)]
     cuts = {n: sorted(set(q)) for n, q in known.agg(*[F.percentile_approx(n, at, 10_000).alias(n) for n in FEATURES]).first().asDict().items()}
     bins = {n: sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)) for n in FEATURES}
@@ -188,7 +210,8 @@ def judge(pages: DataFrame, model: Boosted, rules=RULES, id_col: str = "page_id"
     host, path = host_and_path(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
-    named = lexical(F.col("url"), F.col("host"), F.col("path")) | {"suffix_rate": model.suffix_rate(F.col("host"))}
-    out = out.select("id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), *[c.alias(n) for n, c in named.items()])
+    out = with_suffix_rate(out, F.col("host"), model.rates, model.rate)
+    named = lexical(F.col("url"), F.col("host"), F.col("path"))
+    out = out.select("id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), "suffix_rate", *[c.alias(n) for n, c in named.items()])
     out = out.withColumn("block_score", 1 / (1 + F.exp(-model.margin({n: F.col(n) for n in FEATURES}))))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("fixed", F.when(F.col("block_score") > 0.5, "block").otherwise("allow")).alias("verdict"), "block_score")
