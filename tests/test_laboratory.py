@@ -37,6 +37,7 @@ def test_spreads():
     assert s.sd == 1 and s.floor == 2 and lab.Spread("x", [3]).sd == 0
     assert [lab.verdict(s, d) for d in (1, 2.5, 4)] == ["noise", "marginal", "solid"]
     assert [lab.reverses(dict(zip("ab", e, strict=True)), 0.0152) for e in ((0.05, -0.05), (0.0042, -0.0026), (0.35, 0.02), (0.05, 0))] == [True, False, False, False]
+    assert lab.reverses({"a": 0.05, "b": -0.05}) and not lab.reverses({"a": 0.01, "b": -0.01}) and lab.reverses({"a": 0.01, "b": -0.01}, 0.0)
     assert lab.combined([lab.Spread("a", [0, 2]), lab.Spread("b", [0, 2])]) == pytest.approx(2)
     assert lab.confounded("alpha", {"alpha": 0.5})
 
@@ -69,3 +70,17 @@ def test_config_keys():
     a, b = Config(), Config(eigenvalue_power=0.5)
     assert a.key("factors") == b.key("factors") and a.key("space") != b.key("space")
     assert a.key("counts") != Config(window=2).key("counts") and a.key("vocab") == Config(window=2).key("vocab")
+
+
+def test_probe_scores_one_build_on_every_axis(spark):
+    docs = spark.createDataFrame([(k, " ".join([s] * 50)) for k, s in enumerate(SENTENCES)], "doc_id long, text string")
+    base = Config(vocab_size=50, min_count=1, dim=4, oversample=4, min_pair_weight=0.0)
+    few = dict(block=40, pair_vocab=12, pair_count=30)
+    tried = {"factorisation": (base.seed,), "pair sample": (20260811, 7), "block size": (40,), "block phase": (0,), "pair ceiling": (12,)}
+    ruler = lab.build_ruler(docs, base, **few)
+    assert ruler.drawn == 30 and ruler.coverage == pytest.approx(30 / ruler.words.count())
+    again = ruler.redrawn(12, 30).actual
+    assert sorted(again.collect()) == sorted(ruler.actual.collect())
+    got = lab.probe(docs, base, tried, **few)
+    assert [a.name for a in got] == list(lab.PROBE)
+    assert all(a.values[0] == pytest.approx(ruler.score(base), abs=1e-6) for a in got) and len(got[1].values) == 2

@@ -149,6 +149,18 @@ class Ruler:
     stages: Stages
     words: DataFrame
     actual: DataFrame
+    truth: DataFrame | None = None
+    drawn: int = 0
+
+    @property
+    def coverage(self) -> float:
+        """Pairs drawn for each word of the vocabulary."""
+        return self.drawn / max(1, self.words.count())
+
+    def redrawn(self, pair_vocab: int = 1200, pair_count: int = 4000, seed: int = 20260811, attempts: int = 50) -> Ruler:
+        """The same halves, truth and spaces, measured by other pairs."""
+        actual, drawn = truth_pairs(self.truth, min(pair_vocab, self.words.count()), pair_count, seed, attempts)
+        return Ruler(self.stages, self.words, actual, self.truth, drawn)
 
     def score(self, config: Config) -> float:
         return heldout.correlation(self.stages.space(config).table, self.actual)[0]
@@ -167,17 +179,22 @@ def build_ruler(docs: DataFrame, base: Config | None = None, block: int = 4000,
     split = kept(heldout.split_documents(tokens_of(docs, Config(), doc_col, text_col), block, offset))
     train = split.where("half = 'train'").drop("half")
     words = kept(vocab.build_vocab(train, base.vocab_size, base.min_count))
-    return Ruler(Stages(train), words, truth_pairs(split.where("half = 'test'"), words, min(pair_vocab, words.count()), pair_count, seed, attempts, overrides))
+    truth = truth_cells(split.where("half = 'test'"), words, overrides)
+    return Ruler(Stages(train), words, truth, truth).redrawn(pair_vocab, pair_count, seed, attempts)
 
 
-def truth_pairs(test: DataFrame, words: DataFrame, ceiling: int, pair_count: int, seed: int, attempts: int, overrides: dict | None = None) -> DataFrame:
+def truth_cells(test: DataFrame, words: DataFrame, overrides: dict | None = None) -> DataFrame:
     r = RULER | (overrides or {})
     ids = vocab.encode(test.drop("half"), words)
-    truth = kept(weight.ppmi(counts.cooccurrence(ids, r["window"], r["harmonic"], r["min_pair_weight"]), r["alpha"], r["shift"]))
+    return kept(weight.ppmi(counts.cooccurrence(ids, r["window"], r["harmonic"], r["min_pair_weight"]), r["alpha"], r["shift"]))
+
+
+def truth_pairs(truth: DataFrame, ceiling: int, pair_count: int, seed: int, attempts: int) -> tuple[DataFrame, int]:
+    """(i, j, actual) of the drawn pairs that share something, and how many were drawn."""
     filled = {x["i"] for x in truth.where(F.col("i") < ceiling).select("i").distinct().collect()}
     pairs = heldout.sample_pairs(ceiling, pair_count, filled.__contains__, seed, attempts)
-    table = words.sparkSession.createDataFrame(pairs, "i int, j int")
-    return kept(heldout.truth_cosines(truth, table))
+    table = truth.sparkSession.createDataFrame(pairs, "i int, j int")
+    return kept(heldout.truth_cosines(truth, table)), len(pairs)
 
 
 def dimension_curve(ruler: Ruler, space: Space, dims: Iterable[int] = DIMENSIONS, limit: int = 60, seed: int = benchmark.SEED) -> list[tuple[int, float, dict[str, int]]]:
@@ -234,7 +251,7 @@ def audit_vocabulary(docs: DataFrame, sizes=(2000, 4000, 8000), min_counts=(5, 1
     reference = kept(vocab.build_vocab(train, max(sizes), min(min_counts)))
     smallest = reference.where(F.col("n") >= max(min_counts)).count()
     ceiling = min(pair_vocab, smallest, *sizes)
-    actual = truth_pairs(split.where("half = 'test'"), reference, ceiling, pair_count, seed, 50)
+    actual, _ = truth_pairs(truth_cells(split.where("half = 'test'"), reference), ceiling, pair_count, seed, 50)
     stages, ends = Stages(train), (0, ceiling - 1)
     expected = {r["id"]: r["word"] for r in reference.where(F.col("id").isin(*ends)).collect()}
     out = []
@@ -332,22 +349,33 @@ def measure(ruler: Ruler, seeds: Sequence[int], base: Config | None = None, limi
     return [Spread("heldout", rho), *(Spread(k, v) for k, v in rate.items())]
 
 
-def probe(docs: DataFrame, base: Config | None = None, alternative: Config | None = None, seeds=(1, 2, 3), blocks=(3000, 4000, 5000), pair_seeds=(1, 2, 3), offsets=(0, 1000, 2000), ceilings=(600, 1200, 2400), **ruler) -> list[Spread]:
-    """How an effect moves under choices that nobody made on purpose."""
-    base = base or Config()
-    alternative = alternative or base.with_(alpha=0.75)
+#: The settings that each axis of the probe tries.
+PROBE = {
+    "factorisation": (20260811, 7, 42),
+    "pair sample": (20260811, 7, 42, 1234, 99999, 31415),
+    "block size": (2000, 4000, 8000),
+    "block phase": (0, 1000, 2000, 3000),
+    "pair ceiling": (600, 1200, 2400),
+}
 
-    def effect(r: Ruler, seed: int = base.seed) -> float:
-        return r.score(base.with_(seed=seed)) - r.score(alternative.with_(seed=seed))
 
+def probe(docs: DataFrame, base: Config | None = None, settings: dict[str, Sequence[int]] | None = None, **ruler) -> list[Spread]:
+    """The held-out score of one build under choices that nobody made on purpose, one axis at a time.
+
+    Scores are absolute: a difference of two builds would cancel part of what an axis does to both.
+    Seeds, samples and ceilings share one split with its spaces; blocks and phases need a split each.
+    """
+    base, settings = base or Config(), PROBE | (settings or {})
     own = build_ruler(docs, base, **ruler)
-    return [
-        Spread("seed", [effect(own, s) for s in seeds]),
-        Spread("block size", [effect(build_ruler(docs, base, **ruler | {"block": b})) for b in blocks]),
-        Spread("pair sample", [effect(build_ruler(docs, base, **ruler | {"seed": s})) for s in pair_seeds]),
-        Spread("block phase", [effect(build_ruler(docs, base, **ruler | {"offset": o})) for o in offsets]),
-        Spread("pair ceiling", [effect(build_ruler(docs, base, **ruler | {"pair_vocab": c})) for c in ceilings]),
-    ]
+    pairs = {k: v for k, v in ruler.items() if k in ("pair_vocab", "pair_count", "seed", "attempts")}
+    score = {
+        "factorisation": lambda x: own.score(base.with_(seed=x)),
+        "pair sample": lambda x: own.redrawn(**pairs | {"seed": x}).score(base),
+        "block size": lambda x: build_ruler(docs, base, **ruler | {"block": x}).score(base),
+        "block phase": lambda x: build_ruler(docs, base, **ruler | {"offset": x}).score(base),
+        "pair ceiling": lambda x: own.redrawn(**pairs | {"pair_vocab": x}).score(base),
+    }
+    return [Spread(axis, [score[axis](x) for x in tried]) for axis, tried in settings.items()]
 
 
 def probe_analogy(space: Space, question_seeds: Sequence[int], limit: int = benchmark.LIMIT) -> list[Spread]:
@@ -370,7 +398,9 @@ def confounded(parameter: str, overrides: dict) -> bool:
     return parameter in overrides
 
 
-def reverses(effects: dict[str, float], floor: float) -> bool:
-    """Effects of both signs, each beyond the floor."""
+def reverses(effects: dict[str, float], floor: float | None = None) -> bool:
+    """Effects of both signs, each beyond the floor, which is the held-out effect's by default."""
+    if floor is None:
+        from .claims import EFFECT_SD as floor
     signs = {e > 0 for e in effects.values() if abs(e) > floor}
     return len(signs) > 1
