@@ -183,6 +183,32 @@ def test_each_id_is_scored_once_and_shares_add_up():
     assert np.allclose(np.bincount(sym.cls, weights=z, minlength=lm.CLASSES), 1, atol=1e-3)
 
 
+def test_large_logits_are_scored_as_softmax_has_them():
+    rng = np.random.default_rng(2)
+    sample = [rng.integers(0, 500, 200) for _ in range(4)]
+    sym = lm.Symbols(sample)
+    m = lm.Attention(sym, np.bincount(np.concatenate(sample), minlength=lm.VOCABULARY_SIZE), np.zeros((lm.SYMBOLS + lm.CLASSES) * sym.cells))
+    m.p["B"] = rng.normal(0, 100, m.p["B"].shape).astype(np.float32)
+    x, y = rng.integers(0, 500, (3, 20)), rng.integers(0, lm.CLASSES, (3, 20))
+    got = m.classes(x, y)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    z = m.forward(x)[0]
+    z = z - z.max(-1, keepdims=True)
+    want = np.take_along_axis(z - np.log(np.exp(z).sum(-1, keepdims=True)), y[..., None], -1)[..., 0]
+    near = want > -60  # beyond, exponents are clipped
+    assert np.isfinite(got).all() and near.any() and np.allclose(got[near], want[near], atol=0.2)
+
+
+def test_pieces_merged_by_arrays_have_the_library_s_ids():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aaabehnt\u00e9=\u2013\u04490 1\n'st") for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    texts += ["", " ", "a" * 300, "=" * 77, "the sea was calm", "\U0001f40b whale", "<|endoftext|> end", *(" " * k for k in range(40))]
+    coder = fastbpe.merging_encoder(PATH)
+    for _ in range(2):  # new pieces, then known ones
+        ids, per = coder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == [coder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_factorisation_machine_learns_and_scores_edges():
     rng = random.Random(2)
     good = [" ".join(rng.choice(["the", "sea", "was", "calm", "whale"]) for _ in range(60)) + "." for _ in range(80)]

@@ -68,11 +68,27 @@ def with_ends(ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.insert(ids, np.cumsum(per), END_ID).astype(np.int64), per + 1
 
 
-def fast_exp(z: np.ndarray) -> np.ndarray:
-    """exp within some per cent, in place, by writing the exponent's bits; sums of it normalise as well."""
-    np.maximum(z, -80, out=z)
-    z *= np.float32(12102203.0)
-    z += np.float32(1064986823.0)
+#: exp(x) is about the number whose bits are UNIT * x + BASE; within the same bounds as clipped exponents.
+UNIT, BASE = 2**23 / np.log(2), 1064986823.0
+LOW, HIGH = BASE - 80 * UNIT, BASE + 80 * UNIT
+
+
+def bits_exp(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """exp((z - BASE) / UNIT) within some per cent, for softmax: sums of it normalise as well. Changes z.
+
+    Where values go beyond the range, the mask is added (negative where a value doesn't count; the caller drops those) and
+    rows are shifted below their maximum. 64-bit z (tests) are taken as they are, exactly.
+    """
+    exact = z.dtype == np.float64
+    if exact or (z.size and z.max() > HIGH):
+        if mask is not None:
+            z += mask * z.dtype.type(1 if exact else UNIT)
+        top = z.max(-1, keepdims=True)
+        z -= top if exact else np.maximum(top - np.float32(BASE), 0)
+    if exact:
+        return np.exp(z)
+    if z.size and z.min() < LOW:
+        np.maximum(z, np.float32(LOW), out=z)
     return z.astype(np.int32).view(np.float32)
 
 
@@ -150,39 +166,41 @@ class Symbols:
 
 
 def row_sums(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(size, width): rows added up by their place."""
+    """(size, width): rows (of an even width) added up by their place; two columns at once, as parts of a complex number."""
+    pair = np.complex64 if rows.dtype == np.float32 else np.complex128
+    half = rows.shape[1] // 2
     out = np.zeros((size, rows.shape[1]), rows.dtype)
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    at = at[order]
-    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    out[at[start]] = np.add.reduceat(rows[order], start, axis=0)
+    np.add.at(out.view(pair).ravel(), np.arange(size * half).reshape(size, half).take(at, axis=0).ravel(), np.ascontiguousarray(rows).view(pair).ravel())
     return out
 
 
 class Adam:
-    """Running moments of gradients; the table B moves slower."""
+    """Running sums of gradients (ten times their mean) and of their squares (a hundred times); the table B moves slower."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.m = {n: np.zeros_like(v) for n, v in p.items()}
-        self.s2 = {n: np.zeros_like(v) for n, v in p.items()}
+        self.names = sorted(p, key="B".__eq__)  # B last
+        self.m = np.zeros(sum(v.size for v in p.values()), p["B"].dtype)
+        self.s2 = np.zeros_like(self.m)
         self.step = 0
 
     def update(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
         now, one, two = rate * min(1, self.step / 50), 1 - 0.9**self.step, 1 - 0.99**self.step
-        for n, v in g.items():
-            m, s2 = self.m[n], self.s2[n]
-            m *= 0.9
-            m += 0.1 * v
-            v *= v
-            v *= 0.01
-            s2 *= 0.99
-            s2 += v
-            np.sqrt(s2, out=v)
-            v += 1e-8
-            np.divide(m, v, out=v)
-            v *= now * (0.3 if n == "B" else 1) * two**0.5 / one
-            p[n] -= v
+        v = np.concatenate([g[n].ravel() for n in self.names])
+        self.m *= 0.9
+        self.m += v
+        v *= v
+        self.s2 *= 0.99
+        self.s2 += v
+        np.sqrt(self.s2, out=v)
+        v += 1e-7
+        np.divide(self.m, v, out=v)
+        v *= now * two**0.5 / one
+        v[-p["B"].size :] *= 0.3
+        lo = 0
+        for n in self.names:
+            p[n] -= v[lo : lo + p[n].size].reshape(p[n].shape)
+            lo += p[n].size
 
 
 class Attention:
@@ -209,50 +227,49 @@ class Attention:
             "QKV": init(d, 3 * d), "O": init(d, d) * 0.3, "W1": init(d, 2 * d), "W2": init(2 * d, d) * 0.3, "out": init(d, CLASSES) * 0.3, "B": bigram,
         }
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.past = np.tri(WINDOW, dtype=np.float32)
 
-    def forward(self, x: np.ndarray) -> tuple:
+    def products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries times keys and values times the output matrix: attention needs no more of those four. (d, d) each, then both."""
+        d = WIDTH
+        q, k, v = (self.p["QKV"][:, i * d : (i + 1) * d] for i in range(3))
+        meet, give = q @ k.T * q.dtype.type(d**-0.5), v @ self.p["O"]
+        return meet, give, np.concatenate((meet, give), axis=1)
+
+    def forward(self, x: np.ndarray, skip: int = 0) -> tuple:
+        """Logits of the classes at each place from ``skip`` on, in bits_exp's units, and what gradients need.
+
+        Attention is kept as exponentials and their sums: dividing the weighted values is cheaper than the weights.
+        """
         p, (n, t), d = self.p, x.shape, WIDTH
-        h0 = (p["E"][x] + p["P"][:t]).reshape(-1, d)
-        qkv = (h0 @ p["QKV"]).reshape(n, t, 3 * d)
-        q, k, v = (np.ascontiguousarray(qkv[..., i * d : (i + 1) * d]) for i in range(3))
-        a = q @ k.transpose(0, 2, 1)
-        a *= d**-0.5
-        a += self.mask[:t, :t]
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        o = (a @ v).reshape(-1, d)
-        h1 = h0 + o @ p["O"]
+        kind = p["E"].dtype.type
+        unit, base = (kind(UNIT), kind(BASE)) if kind is np.float32 else (kind(1), kind(0))
+        meet, give, _ = self.products()
+        h0 = p["E"].take(x, axis=0)
+        h0 += p["P"][:t]
+        qv = (h0.reshape(-1, d) @ np.concatenate((meet * unit, give), axis=1)).reshape(n, t, 2 * d)
+        a = qv[:, skip:, :d] @ h0.transpose(0, 2, 1)
+        a += base
+        a = bits_exp(a, self.mask[skip:t, :t])
+        a *= self.past[skip:t, :t]
+        s = a.reshape(-1, t) @ np.ones(t, kind)
+        o = (a @ qv[..., d:]).reshape(-1, d)
+        o /= s[:, None]
+        h1 = h0[:, skip:].reshape(-1, d) + o
         r = h1 @ p["W1"]
-        np.maximum(r, 0, out=r)
-        h2 = h1 + r @ p["W2"]
-        z = h2 @ p["out"]
-        z += p["B"][x.ravel()]
-        z -= z.max(-1, keepdims=True)
-        return z.reshape(n, t, -1), (h0, q, k, v, a, o, h1, r, h2)
-
-    def classes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log P(class y | context) for a batch of windows; normalisers come out of the products."""
-        p, t, d = self.p, x.shape[1], WIDTH
-        h = p["E"][x]
-        h += p["P"][:t]
-        qkv = (h.reshape(-1, d) @ p["QKV"]).reshape(*x.shape, 3 * d)
-        q = qkv[..., :d] * np.float32(d**-0.5)
-        a = q @ np.ascontiguousarray(qkv[..., d : 2 * d].transpose(0, 2, 1))
-        a += self.mask[:t, :t]
-        v = np.ones((*x.shape, d + 1), np.float32)
-        v[..., :d] = qkv[..., 2 * d :]
-        o = fast_exp(a) @ v
-        o = (o[..., :d] / o[..., d:]).reshape(-1, d)
-        h = h.reshape(-1, d)
-        h += o @ p["O"]
-        r = h @ p["W1"]
-        np.maximum(r, 0, out=r)
-        h += r @ p["W2"]
-        z = h @ p["out"]
-        z += p["B"][x.ravel()]
-        e = fast_exp(z)
-        return np.log(e[np.arange(len(e)), y.ravel()] / (e @ np.ones(CLASSES, np.float32))).reshape(x.shape)
+        live = (r > 0).astype(kind)
+        r *= live
+        h2 = r @ p["W2"]
+        h2 += h1
+        z = h2 @ (p["out"] * unit)
+        z += (p["B"] * unit + base).take(x[:, skip:].ravel(), axis=0)
+        return z.reshape(n, t - skip, -1), (h0, qv, a, s, o, h1, live, r, h2)
+
+    def classes(self, x: np.ndarray, y: np.ndarray, skip: int = 0) -> np.ndarray:
+        """log P(class y | context) for a batch of windows, at each place from ``skip`` on."""
+        e = bits_exp(self.forward(x, skip)[0].reshape(-1, CLASSES))
+        y = y[:, skip:]
+        return np.log(e.ravel().take(np.arange(0, e.size, CLASSES) + y.ravel()) / (e @ np.ones(CLASSES, e.dtype))).reshape(y.shape)
 
     def train(self, sample: list[np.ndarray], epochs: int = 1, seed: int = 9) -> None:
         """Rounds over documents that one process holds."""
@@ -266,7 +283,9 @@ class Attention:
         A step takes LEAST_WINDOWS windows at first and one more every fourth step, up to MOST_WINDOWS.
         """
         first = np.cumsum(per) - per
-        x_of, y_of = self.symbols.symbol[ids_before(ids, first)].astype(np.int16), self.symbols.cls[ids].astype(np.int16)
+        more = np.zeros(WINDOW, np.int16)  # so that a document's last window can be read whole
+        x_of = np.concatenate((self.symbols.symbol[ids_before(ids, first)].astype(np.int16), more))
+        y_of = np.concatenate((self.symbols.cls[ids].astype(np.int16), more))
         n_win = -(-per // WINDOW)
         start = shared.ragged(np.zeros(len(per), np.int64), n_win) * WINDOW
         size = np.minimum(WINDOW, np.repeat(per, n_win) - start)
@@ -276,42 +295,50 @@ class Attention:
         while lo < len(order):
             w = order[lo : lo + min(MOST_WINDOWS, LEAST_WINDOWS + adam.step // 4)]
             lo += len(w)
-            inside = np.arange(WINDOW) < size[w][:, None]
-            at = np.minimum(start[w][:, None] + np.arange(WINDOW), len(ids) - 1)
-            adam.update(self.p, self.gradients(np.where(inside, x_of[at], 0), np.where(inside, y_of[at], -1)), rate)
+            at = start[w][:, None] + np.arange(WINDOW)
+            x, y = x_of.take(at), y_of.take(at)
+            beyond = np.arange(WINDOW) >= size[w][:, None]
+            x[beyond], y[beyond] = 0, -1
+            adam.update(self.p, self.gradients(x, y), rate)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, d, t = self.p, WIDTH, x.shape[1]
-        z, (h0, q, k, v, a, o, h1, r, h2) = self.forward(x)
-        z = z.reshape(len(h0), -1)
-        flat_y = y.ravel()
-        real = np.flatnonzero(flat_y >= 0)
-        np.exp(z, out=z)
-        z *= ((flat_y >= 0) / max(1, len(real)) / z.sum(-1)).astype(z.dtype)[:, None]
-        z[real, flat_y[real]] -= 1 / max(1, len(real))
-        where = x.ravel()
+        p, d, (n, t) = self.p, WIDTH, x.shape
+        z, (h0, qv, a, s, o, h1, live, r, h2) = self.forward(x)
+        meet, _, both = self.products()
+        z = bits_exp(z.reshape(-1, CLASSES))
+        flat_y = y.ravel().astype(np.int64)
+        real = flat_y >= 0
+        share = z.dtype.type(1 / max(1, np.count_nonzero(real)))
+        z *= (real * share / (z @ np.ones(CLASSES, z.dtype)))[:, None]
+        np.subtract.at(z.ravel(), (np.arange(len(flat_y)) * CLASSES + flat_y)[real], share)
+        where = x.ravel().astype(np.int64)
         g = {"out": h2.T @ z, "B": row_sums(len(p["B"]), where, z)}
         dh = z @ p["out"].T
         g["W2"] = r.T @ dh
         dr = dh @ p["W2"].T
-        dr *= r > 0
+        dr *= live
         g["W1"] = h1.T @ dr
         dh += dr @ p["W1"].T
-        g["O"] = o.T @ dh
-        do = (dh @ p["O"].T).reshape(*x.shape, d)
-        da = do @ v.transpose(0, 2, 1)
-        dqkv = np.empty((*x.shape, 3 * d), z.dtype)
-        dqkv[..., 2 * d :] = a.transpose(0, 2, 1) @ do
-        da -= (do.reshape(-1, d) * o).sum(-1).reshape(*x.shape, 1)
+        do = dh / s[:, None]
+        back = np.einsum("ij,ij->i", do, o).reshape(n, t, 1)
+        do = do.reshape(n, t, d)
+        da = do @ qv[..., d:].transpose(0, 2, 1)
+        da -= back
         da *= a
-        da *= d**-0.5
-        dqkv[..., :d] = da @ k
-        dqkv[..., d : 2 * d] = da.transpose(0, 2, 1) @ q
-        dqkv = dqkv.reshape(-1, 3 * d)
-        g["QKV"] = h0.T @ dqkv
-        dh += dqkv @ p["QKV"].T
+        dqv = np.empty((n, t, 2 * d), z.dtype)
+        np.matmul(da, h0, out=dqv[..., :d])
+        np.matmul(a.transpose(0, 2, 1), do, out=dqv[..., d:])
+        dk = da.transpose(0, 2, 1) @ h0
+        dqv, h0 = dqv.reshape(-1, 2 * d), h0.reshape(-1, d)
+        dh += dqv @ both.T
+        dh += dk.reshape(-1, d) @ meet
+        both = h0.T @ dqv
+        by_meet, by_give = both[:, :d] * z.dtype.type(d**-0.5), both[:, d:]
+        q, k, v = (p["QKV"][:, i * d : (i + 1) * d] for i in range(3))
+        g["O"] = v.T @ by_give
+        g["QKV"] = np.concatenate((by_meet @ k, by_meet.T @ q, by_give @ p["O"].T), axis=1)
         g["P"] = np.zeros_like(p["P"])
-        g["P"][:t] = dh.reshape(*x.shape, d).sum(0)
+        g["P"][:t] = dh.reshape(n, t, d).sum(0)
         g["E"] = row_sums(len(p["E"]), where, dh)
         return g
 
@@ -327,16 +354,16 @@ class Attention:
         size = np.minimum(WINDOW, per[doc] - start)
         skip = np.where(start > 0, WINDOW - STRIDE, 0)
         got = np.zeros(len(ids), np.float64)
-        order = np.argsort(size, kind="stable")
-        for lo in range(0, len(order), batch):
-            w = order[lo : lo + batch]
-            t = int(size[w].max())
+        order = np.lexsort((size, skip))
+        later = int(np.count_nonzero(skip == 0))
+        for lo in (*range(0, later, batch), *range(later, len(order), batch)):
+            w = order[lo : min(lo + batch, later) if lo < later else lo + batch]
+            t, k = int(size[w].max()), int(skip[w[0]])
             at = (first[doc[w]] + start[w])[:, None] + np.arange(t)
-            inside = np.arange(t) < size[w][:, None]
+            inside = np.arange(k, t) < size[w][:, None]
             at = np.minimum(at, len(ids) - 1)
-            logp = self.classes(sym[at], cls[at])
-            take = inside & (np.arange(t) >= skip[w][:, None])
-            got[at[take]] = logp[take]
+            logp = self.classes(sym.take(at), cls.take(at), k)
+            got[at[:, k:][inside]] = logp[inside]
         got /= np.log(10)
         got += self.follow.ravel()[pair]
         got += self.rest[ids]
@@ -401,7 +428,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(ids) of every one of docs(text), to fit a model on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = fastbpe.encoder(tokenizer)
+        coder = fastbpe.merging_encoder(tokenizer)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(id_bytes(coder, lower_texts(shared.plain(b.column(0)))), pa.binary())], ["ids"])
 
@@ -428,7 +455,7 @@ def id_counts(table: DataFrame, size: int, keys_of: Callable[[np.ndarray, np.nda
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int32)
         for ids, per in _ids(batches):
-            np.add.at(total, keys_of(ids, np.cumsum(per) - per), 1)
+            np.add.at(total, keys_of(ids, np.cumsum(per) - per), np.int32(1))  # of total's own type, or it takes 20 times as long
         used = np.flatnonzero(total)
         yield from _count_rows(used, total[used])
 
@@ -542,7 +569,7 @@ def _based(docs: DataFrame, words: DataFrame, distinct: int, tokenizer: str) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs = sent.value
-        coder = fastbpe.encoder(tokenizer)
+        coder = fastbpe.merging_encoder(tokenizer)
         rid = TaskContext.get().partitionId() << 33
         for b in batches:
             arr = shared.plain(b.column(1))
