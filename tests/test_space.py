@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from vocarium.operators import benchmark
+from vocarium.operators import space
 from vocarium.operators.space import Space, top_answers
 from vocarium.plans import laboratory as lab
 from vocarium.sources import codec
@@ -88,6 +89,28 @@ def test_batch_answers_equal_single_ones(spark):
         assert got[3] == words(s.analogy("w3", "w4", "w5", 5, metric))
 
 
+@pytest.mark.parametrize("method", ["3cosadd", "3cosmul"])
+def test_answers_in_chunks_and_blocks_equal_one_sort(spark, monkeypatch, method):
+    for name, size in (("ASKED", 16), ("PART", 4), ("WORDS", 8)):
+        monkeypatch.setattr(space, name, size)
+    rng = np.random.default_rng(4)
+    vecs = np.concatenate([rng.normal(size=(30, 6))] * 3)  # equal vectors: the higher id first
+    s = Space.of(spark, [f"w{k}" for k in range(90)], vecs)
+    asked = [(k, (k * 7) % 90, (k * 11 + 1) % 90, (k * 13 + 5) % 90) for k in range(50)]
+    held = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x, f=type(spark.sparkContext).broadcast: held.append(len(x[0])) or f(self, x))
+    out = top_answers(s.table, spark.createDataFrame([(k, *(f"w{x}" for x in q)) for k, *q in asked], "qid long, a string, b string, c string"), method=method)
+    got = {}
+    for r in out.orderBy("qid", "rnk").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    for k, a, b, c in asked:
+        cos = lambda x: (unit @ unit[x] + 1) / 2
+        score = np.round(unit @ (unit[b] - unit[a] + unit[c]) if method == "3cosadd" else cos(b) * cos(c) / (cos(a) + 1e-3), 9)
+        assert got[k] == [x for x in sorted(range(90), key=lambda x: (-score[x], -x)) if x not in (a, b, c)][:5]
+    assert sum(held) == 50 and max(held) < 50  # no broadcast holds all questions
+
+
 def test_pairs_and_questions(spark):
     names = ["ship", "ships", "hi", "his", "glass", "glasses", "glasss", "under", "ununder", "tree", "trees"]
     v = spark.createDataFrame(list(enumerate(names)), "id int, word string")

@@ -60,7 +60,7 @@ def outcomes(asked: DataFrame, answers: DataFrame, benchmark: DataFrame) -> Data
     """(qid, category, top1, top5, form, given) of each question from answers(qid, rnk, word)."""
     best = answers.groupBy("qid").agg(F.max(F.when(F.col("rnk") == 1, F.col("word"))).alias("given"), F.collect_set("word").alias("five"))
     shapes = benchmark.select("category", F.col("derived").alias("given"), F.lit(True).alias("shape")).distinct()
-    out = asked.join(best, "qid", "left").join(F.broadcast(shapes), ["category", "given"], "left")
+    out = asked.join(best, "qid", "left").join(shapes, ["category", "given"], "left")
     hit = lambda c: F.coalesce(c, F.lit(False))
     return out.select("qid", "category", hit(F.col("given") == F.col("d")).alias("top1"), hit(F.array_contains("five", F.col("d"))).alias("top5"), hit(F.col("shape")).alias("form"), "given", "a", "b", "c", "d")
 
