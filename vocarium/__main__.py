@@ -126,10 +126,10 @@ def dimensions(spark, args):
 
 def subspaces(spark, args):
     from .plans import laboratory as lab
-    from .plans.build import Stages, tokens_of
+    from .plans.build import Stages, lists_of
 
     config = _config(args)
-    stages = Stages(kept(tokens_of(_docs(spark, args), config)))
+    stages = Stages(kept(lists_of(_docs(spark, args), config)))
     print(table(("slice", "mean", "aligned", "least"), [(o.label, o.mean, o.aligned, o.least) for o in lab.compare_subspaces(stages.space(config), stages.space(config.with_(factoriser="krylov")))]))
 
 
