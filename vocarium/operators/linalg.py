@@ -49,7 +49,12 @@ class CellMatrix:
                 if not len(i):
                     continue
                 starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-                sums = np.add.reduceat(v[:, None] * sent.value[j], starts, axis=0)
+                if len(starts) * len(sent.value) <= 16 * len(v):  # full enough for a dense product
+                    block = np.zeros((len(starts), len(sent.value)))
+                    block[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(i)))), j] = v
+                    sums = block @ sent.value
+                else:
+                    sums = np.add.reduceat(v[:, None] * sent.value[j], starts, axis=0)
                 for r, s in zip(i[starts].tolist(), sums, strict=True):
                     held[r] = held[r] + s if r in held else s
                 if len(held) > 4096:
